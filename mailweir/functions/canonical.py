@@ -1,0 +1,160 @@
+"""The consistent form of text: equal-looking texts become equal strings.
+
+Whole-text definition, also used by duplicate detection. The steps are: decompose (NFKD), drop characters that
+print nothing, turn look-alike letters into Latin ones and special blanks into the ordinary blank, compose (NFC).
+Null stays null. A text is first searched for a character that the steps could change (one pass over a character
+class in C, some nanoseconds a character); most texts have none and are handed back as they are. The work is done in
+Arrow batches in Python: the same class as a Java regular expression measured about 0.9 microseconds a character,
+two orders of magnitude more.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import struct
+import unicodedata
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Letters of other scripts and the Latin letters that they look like.
+LOOKALIKES = {
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
+    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
+    "υ": "u", "χ": "x", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T",
+    "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ү": "y", "ӏ": "l", "к": "k", "ѵ": "v",
+    "Օ": "O", "օ": "o", "Տ": "S", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʟ": "L",
+    "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ",
+}
+
+# Characters that print nothing though their category is not Cf.
+SILENT_OTHERS = ("͏", "ᅟ", "ᅠ", "឴", "឵", "᠋", "᠌", "᠍", "᠏", "ㅤ", "ﾠ")
+
+
+def _silent(ch: str) -> bool:
+    o = ord(ch)
+    return (
+        unicodedata.category(ch) == "Cf"
+        or ch in SILENT_OTHERS
+        or 0xFE00 <= o <= 0xFE0F
+        or 0xE0100 <= o <= 0xE01EF
+        or (o < 32 and ch not in "\t\n\r\x0b\x0c")
+        or 0x7F <= o <= 0x9F and o != 0x85
+    )
+
+
+def _special_blank(ch: str) -> bool:
+    return ch != " " and unicodedata.category(ch) == "Zs"
+
+
+def _quick_yes(ch: str) -> bool:
+    """True if the steps leave ``ch`` alone in any context (quick check "yes", starter, no table entry)."""
+    if ch in LOOKALIKES or _silent(ch) or _special_blank(ch):
+        return False
+    if unicodedata.combining(ch) or unicodedata.category(ch)[0] == "M":
+        return False
+    if 0xD800 <= ord(ch) <= 0xDFFF:
+        return True
+    d = unicodedata.normalize("NFKD", ch)
+    return unicodedata.normalize("NFC", d) == ch and not any(x in LOOKALIKES or _silent(x) or _special_blank(x) for x in d)
+
+
+@lru_cache(1)
+def stable_ranges() -> tuple[tuple[int, int], ...]:
+    """Ranges of quick-yes characters of the common scripts; the rest counts as unstable and is examined."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in ((0, 0x250), (0x1EA0, 0x1EFA), (0x2010, 0x2023), (0x3041, 0x3097), (0x4E00, 0xA000), (0xAC00, 0xD7A4)):
+        start = None
+        for o in range(lo, hi + 1):
+            good = o < hi and _quick_yes(chr(o))
+            if good and start is None:
+                start = o
+            elif not good and start is not None:
+                out.append((start, o - 1))
+                start = None
+    return tuple(out)
+
+
+@lru_cache(1)
+def unstable_class() -> str:
+    return "".join(_esc(a) + ("" if a == b else "-" + _esc(b)) for a, b in stable_ranges())
+
+
+def _esc(o: int) -> str:
+    return f"\\u{o:04x}"
+
+
+@lru_cache(1)
+def unstable_pattern() -> str:
+    """Any character outside the stable ranges."""
+    return f"[^{unstable_class()}]"
+
+
+@lru_cache(1)
+def _translation() -> dict[int, str | None]:
+    table: dict[int, str | None] = {ord(k): v for k, v in LOOKALIKES.items()}
+    for o in (*range(0x10000), *range(0x110BD, 0x110CE), *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE01F0)):
+        ch = chr(o)
+        if _silent(ch):
+            table[o] = None
+        elif _special_blank(ch):
+            table[o] = " "
+    return table
+
+
+@lru_cache(1)
+def _unstable_re() -> re.Pattern[str]:
+    return re.compile(unstable_pattern())
+
+
+def canonical(text: str | None) -> str | None:
+    """Consistent form of one text."""
+    if text is None or text.isascii() and text.isprintable():
+        return text
+    if not _unstable_re().search(text):
+        return text
+    return settle(text)
+
+
+def settle(text: str) -> str:
+    """The steps themselves, on any span that begins and ends at a boundary."""
+    t = _translation()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text).translate(t))
+
+
+@F.arrow_udf(StringType())
+def canonical_col(col: pa.Array) -> pa.Array:
+    """Consistent form as a column."""
+    return pa.array([canonical(v) for v in col.to_pylist()], pa.string())
+
+
+_ALNUM = re.compile(r"[^\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words(text: str | None) -> list[str]:
+    """Runs of letters and digits of the consistent form, case folded."""
+    return _ALNUM.findall(canonical(text).casefold()) if text else []
+
+
+def squash(text: str | None) -> str:
+    """Letters and digits of the consistent form, case folded, nothing between them."""
+    return "".join(words(text))
+
+
+def letter_count(text: str | None) -> int:
+    return sum(map(len, _LETTERS.findall(canonical(text)))) if text else 0
+
+
+def digest128(text: str) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit digest."""
+    return struct.unpack("<qq", hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())

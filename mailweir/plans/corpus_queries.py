@@ -1,0 +1,33 @@
+"""Registered queries of the general training-data problems."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mailweir.operators import components, format_copies
+from mailweir.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+MESSAGE_KEYS = ("id", "group_id", "content_hash", "parent_id")
+OVERLAP_KEYS = ("english_id", "vietnamese_id", "review_status")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages", MESSAGE_KEYS)
+    overlap = table(spark, d, "cross_language_overlap", OVERLAP_KEYS)
+    return components.message_components(messages, overlap).select("component_id", "id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.copy_pairs(table(spark, d, "messages", ("id", "subject", "body")))
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.collapse(table(spark, d, "messages", ("id", "subject", "body")))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records}
+SQL: dict[str, str] = {}
