@@ -1,0 +1,236 @@
+"""Records of evaluation splits that also occur, exactly or almost, in the training split (problem 5).
+
+Minwise hashing with banded buckets. A pair is wanted if at most one word in ten differs, so five-word shingles would
+not do: changes spread evenly leave a Jaccard similarity near 0.27. The shingle is therefore one word with its
+occurrence number; a pair at the limit then has a similarity of at least 9/11. With 26 bands of 6 rows a pair at that
+limit is missed with a probability below 1e-4, any closer pair with less. Copies of one word sequence are hashed once.
+Buckets are joined evaluation side to training side only; candidates whose lengths or 48 one-bit sketches rule them
+out are dropped in the join, the rest is verified by exact Jaccard similarity and by the exact word edit distance.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from mailweir.functions.canonical import digest128, words
+from mailweir.operators.skew import block_pairs
+from mailweir.session import cut
+
+BANDS, ROWS = 26, 6
+SKETCH_BITS, SKETCH_LEAST = 48, 34
+LEAST_WORDS = 30
+#: One word in so many may differ; the longer text counts.
+TENTH = 10
+_P = BANDS * ROWS
+_rng = np.random.default_rng(20240229)
+_A = _rng.integers(1, 2**63, _P, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 2**63, _P, dtype=np.uint64)
+_C = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
+
+_TEXT_SCHEMA = "id string, side int, n int, wlo long, whi long, clo long, chi long, words binary"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        out: list[list] = [[] for _ in range(8)]
+        for i, side, s, b in zip(*(c.to_pylist() for c in batch.columns)):
+            ws, wb = words(s), words(b)
+            both = ws + wb
+            if len(both) < LEAST_WORDS:
+                continue
+            if len(known) > 500_000:
+                known.clear()
+            hashed = []
+            for w in both:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = xxhash.xxh32_intdigest(w)
+                hashed.append(h)
+            x, y = "".join(ws), "".join(wb)
+            if y < x:
+                x, y = y, x
+            row = (i, side, len(both), *digest128(" ".join(both)), *digest128(f"{x}\0{y}"), np.array(hashed, np.uint32).tobytes())
+            for col, v in zip(out, row):
+                col.append(v)
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["id", "side", "n", "wlo", "whi", "clo", "chi", "words"])
+
+
+def numbered(tokens: np.ndarray) -> np.ndarray:
+    """Each word hash with its occurrence number in the text, so that the set keeps multiplicities."""
+    order = np.argsort(tokens, kind="stable")
+    s = tokens[order]
+    start = np.r_[True, s[1:] != s[:-1]]
+    pos = np.arange(len(s))
+    occ = pos - np.maximum.accumulate(np.where(start, pos, 0))
+    out = np.empty(len(s), np.uint64)
+    out[order] = s.astype(np.uint64) + (occ.astype(np.uint64) << np.uint64(32))
+    return out
+
+
+def signatures(token_lists: list[np.ndarray]) -> np.ndarray:
+    """(permutations, texts) minima of 32 bits; every list holds at least one token."""
+    flat = np.concatenate(token_lists)
+    flat ^= flat >> np.uint64(29)
+    flat *= np.uint64(0x9E3779B97F4A7C15)
+    flat ^= flat >> np.uint64(32)
+    starts = np.r_[0, np.cumsum([len(t) for t in token_lists])[:-1]].astype(np.int64)
+    sig = np.empty((_P, len(token_lists)), np.uint64)
+    for p in range(_P):
+        sig[p] = np.minimum.reduceat((flat * _A[p] + _B[p]) >> np.uint64(32), starts)
+    return sig
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            rid, train, evalu, n, blobs = (c.to_pylist() for c in part.columns)
+            sig = signatures([numbered(np.frombuffer(w, np.uint32)) for w in blobs])
+            bits = np.zeros(len(rid), np.uint64)
+            for k in range(SKETCH_BITS):
+                bits |= (sig[k] & np.uint64(1)) << np.uint64(k)
+            sketch = (bits | (np.minimum(np.array(n, np.uint64), np.uint64(0x7FFF)) << np.uint64(48))).astype(np.int64)
+            keys = (sig.reshape(BANDS, ROWS, -1) * _C[:, :, None]).sum(axis=1, dtype=np.uint64) ^ _BAND[:, None]
+            keys ^= keys >> np.uint64(31)
+            keys *= np.uint64(0xBF58476D1CE4E5B9)
+            side = np.array(train, np.int32) + 2 * np.array(evalu, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys.astype(np.int64).ravel()),
+                    pa.array(np.tile(np.array(rid, np.int64), BANDS)),
+                    pa.array(np.tile(sketch, BANDS)),
+                    pa.array(np.tile(side, BANDS)),
+                ],
+                ["key", "rid", "sk", "side"],
+            )
+
+
+def word_distance(a: list[int], b: list[int]) -> int:
+    """Edit distance of two word sequences, bit-parallel over the shorter one."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    while a and a[-1] == b[-1]:
+        a.pop()
+        b.pop()
+    if not a:
+        return len(b)
+    where: dict[int, int] = {}
+    for k, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << k
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for w in b:
+        eq = where.get(w, 0)
+        diag = (((eq & up) + up) ^ up) | eq | down
+        hp = down | ~(diag | up) & full
+        hn = up & diag
+        if hp & top:
+            score += 1
+        if hn & top:
+            score -= 1
+        hp = (hp << 1 | 1) & full
+        hn = hn << 1 & full
+        up = hn | ~(diag | hp) & full
+        down = hp & diag
+    return score
+
+
+@F.arrow_udf(BooleanType())
+def _near(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        longer = max(len(u), len(v))
+        shared = len(np.intersect1d(numbered(u), numbered(v), assume_unique=True))
+        # Jaccard similarity of the numbered words: at the limit (n - k) / (n + k) with k = n / 10
+        if 11 * shared < 9 * (len(u) + len(v) - shared):
+            out.append(False)
+        else:
+            out.append(TENTH * word_distance(u.tolist(), v.tolist()) <= longer)
+    return pa.array(out, pa.bool_())
+
+
+def _side(split: Column) -> Column:
+    s = F.lower(F.trim(split))
+    return F.when(s == "train", 0).when(s.isin("validation", "test"), 1)
+
+
+def overlap_pairs(messages: DataFrame) -> DataFrame:
+    """(train_id, eval_id) of all cross-split copies and near copies.
+
+    Rows without a split, and texts under 30 words, take no part. Null fields count as empty. Repeated rows give
+    repeated ids once a pair. Empty tables give an empty result.
+    """
+    rows = messages.select("id", _side(F.col("split")).alias("side"), "subject", "body").filter("side is not null")
+    rows = cut(rows.mapInArrow(_texts, _TEXT_SCHEMA))
+
+    # copies by letters and digits, in blocks
+    light = rows.select("id", "side", "wlo", "whi", "clo", "chi")
+    per = light.groupBy("clo", "chi").agg(F.sum(1 - F.col("side")).alias("nt"), F.sum("side").alias("ne")).filter("nt > 0 and ne > 0")
+    copied = cut(light.join(per, ["clo", "chi"]))
+    train = copied.filter("side = 0").select(F.col("id").alias("train_id"), "clo", "chi", "nt", "ne")
+    evalu = copied.filter("side = 1").select(F.col("id").alias("eval_id"), "clo", "chi", "nt", "ne")
+    exact = block_pairs(train, evalu, ["clo", "chi"], "nt", "ne").select("train_id", "eval_id")
+
+    # near copies between distinct word sequences
+    texts = rows.groupBy("wlo").agg(
+        F.max((F.col("side") == 0).cast("int")).alias("t"), F.max("side").alias("e"), F.first("n").alias("n"), F.first("words").alias("w")
+    )
+    banded = texts.mapInArrow(_bands, "key long, rid long, sk long, side int")
+    a = banded.filter(F.col("side").bitwiseAND(F.lit(1)) > 0).select("key", F.col("rid").alias("wt"), F.col("sk").alias("st"))
+    b = banded.filter(F.col("side").bitwiseAND(F.lit(2)) > 0).select("key", F.col("rid").alias("we"), F.col("sk").alias("se"))
+    mask = F.lit((1 << SKETCH_BITS) - 1)
+    nt, ne = F.shiftright("st", 48), F.shiftright("se", 48)
+    agree = SKETCH_BITS - F.bit_count(F.col("st").bitwiseXOR(F.col("se")).bitwiseAND(mask))
+    close = (TENTH * F.abs(nt - ne) <= F.greatest(nt, ne)) | (F.least(nt, ne) == 0x7FFF)
+    pairs = a.join(b, "key").filter((F.col("wt") != F.col("we")) & close & (agree >= SKETCH_LEAST)).select("wt", "we").distinct()
+    pairs = cut(pairs)
+    blobs = rows.select("wlo", "words")
+    need = pairs.select(F.col("wt").alias("wlo")).unionByName(pairs.select(F.col("we").alias("wlo"))).distinct()
+    blobs = cut(blobs.join(need, "wlo", "left_semi").groupBy("wlo").agg(F.first("words").alias("words")))
+    checked = (
+        pairs.join(blobs.select(F.col("wlo").alias("wt"), F.col("words").alias("x")), "wt")
+        .join(blobs.select(F.col("wlo").alias("we"), F.col("words").alias("y")), "we")
+        .filter(_near("x", "y"))
+        .select("wt", "we")
+    )
+    # one word sequence with different field borders or word borders
+    same = rows.groupBy("wlo").agg(F.min("clo").alias("lo"), F.max("clo").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    same = same.filter("lo <> hi and s0 < s1").select(F.col("wlo").alias("wt"), F.col("wlo").alias("we"))
+    found = cut(checked.unionByName(same))
+    train = light.filter("side = 0").select(F.col("wlo").alias("wt"), F.col("id").alias("train_id"), F.col("clo").alias("ct"))
+    evalu = light.filter("side = 1").select(F.col("wlo").alias("we"), F.col("id").alias("eval_id"), F.col("clo").alias("ce"))
+    near = found.join(train, "wt").join(evalu, "we").filter("ct <> ce").select("train_id", "eval_id")
+    return exact.unionByName(near)
+
+
+def overlap_found(messages: DataFrame) -> DataFrame:
+    return overlap_pairs(messages).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def overlap_report(messages: DataFrame) -> DataFrame:
+    """Confirmed pairs by evaluation split, its source and the training source: pairs and distinct evaluation records."""
+    pairs = cut(overlap_pairs(messages))
+    about = messages.select("id", F.lower(F.trim("split")).alias("split"), F.coalesce("source", F.lit("(none)")).alias("source"))
+    e = about.select(F.col("id").alias("eval_id"), F.col("split"), F.col("source").alias("eval_source"))
+    t = about.select(F.col("id").alias("train_id"), F.col("source").alias("train_source"))
+    per_eval = pairs.join(t, "train_id").groupBy("eval_id", "train_source").agg(F.count(F.lit(1)).alias("pairs"))
+    return (
+        per_eval.join(e, "eval_id")
+        .groupBy("split", "eval_source", "train_source")
+        .agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("eval_records"))
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweir.operators import components, format_copies
+from mailweir.operators import components, format_copies, grouped_split, split_overlap
 from mailweir.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,5 +29,33 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.collapse(table(spark, d, "messages", ("id", "subject", "body")))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p4_records": p4_records}
+OVERLAP_COLUMNS = ("id", "subject", "body", "split")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_found(table(spark, d, "messages", OVERLAP_COLUMNS))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, d, "messages", (*OVERLAP_COLUMNS, "source")))
+
+
+def p7_split(spark: SparkSession, d: str) -> DataFrame:
+    messages = table(spark, d, "messages", (*MESSAGE_KEYS, "label"))
+    return grouped_split.assign_splits(messages, table(spark, d, "split_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split.split_report(p7_split(spark, d), table(spark, d, "split_targets"))
+
+
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p7_split": p7_split,
+    "p7_report": p7_report,
+}
 SQL: dict[str, str] = {}
