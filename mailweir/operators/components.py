@@ -3,8 +3,9 @@
 Each round removes an independent set of vertices of degree one (rake) and of degree two (compress: the independent
 set is the list-ranking step on chains, chosen by random priorities, so a chain of any length loses a constant share
 per round). A removed vertex remembers one neighbour; a removed chain vertex leaves an edge between its neighbours.
-When little more can be removed, the reduced core (every vertex has degree three or more, or is rare) is solved by
-alternating large-star and small-star steps, and labels are restored to removed vertices, last round first.
+Rounds go on until the core is small, or until nothing more can be removed. A core within a fixed bound is solved in
+one task, a larger one by alternating large-star and small-star steps; then labels are restored to the removed
+vertices, last round first.
 
 All steps are joins and aggregates over (id, id) rows; no adjacency list is ever built, nothing goes to the driver
 but row counts. Stars around a hot key vanish in the first round.
@@ -12,12 +13,18 @@ but row counts. Stars around a hot key vanish in the first round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweir.operators.skew import attach_by_key
 from mailweir.session import cut
 
+#: A reduced core of so many edges, counted before, is solved in one task; contraction goes on until then.
+CORE_EDGES = 250_000
+
 # Words that stand for a missing key (after trimming, in lower case).
 MISSING_KEYS = ("", "none", "null", "nan", "n/a", "na", "empty")
 
@@ -43,26 +50,21 @@ def _symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def _contract(e: DataFrame, rounds: int, stop_share: float) -> tuple[DataFrame, list[DataFrame], int]:
+def _contract(e: DataFrame, rounds: int, enough: int) -> tuple[DataFrame, list[DataFrame], int]:
     removed: list[DataFrame] = []
     left = e.count()
     for k in range(rounds):
-        if not left:
+        if left <= 2 * enough:
             break
         degree = e.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("a"), F.max("v").alias("b"))
         small = degree.filter("d <= 2").withColumn("p", F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("i")))
-        small = cut(small)
         pr = small.select(F.col("u").alias("w"), F.col("p").alias("q"))
-        gone = (
+        gone = cut(
             small.join(pr.select(F.col("w").alias("a"), F.col("q").alias("qa")), "a", "left")
             .join(pr.select(F.col("w").alias("b"), F.col("q").alias("qb")), "b", "left")
             .filter("(qa is null or p < qa) and (qb is null or p < qb)")
             .select("u", "a", "b", "d")
         )
-        gone = cut(gone)
-        n = gone.count()
-        if n == 0:
-            break
         removed.append(gone.select("u", "a"))
         out = gone.select("u")
         bridge = gone.filter("d = 2")
@@ -74,46 +76,70 @@ def _contract(e: DataFrame, rounds: int, stop_share: float) -> tuple[DataFrame,
             .unionByName(bridge.select(F.col("b").alias("u"), F.col("a").alias("v")))
             .distinct()
         )
-        left = e.count()
-        if n < stop_share * left:
+        before, left = left, e.count()
+        if left > 0.98 * before:
             break
     return e, removed, left
 
 
-def _solve_core(e: DataFrame, left: int, rounds: int = 60) -> DataFrame | None:
-    """Alternating stars on (u, v) edges until the edges are stars around the smallest node."""
+def _find_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if kind is not None:
+        ids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([find(x) for x in ids], kind)], ["id", "root"])
+
+
+def _solve_core(e: DataFrame, left: int, enough: int, rounds: int = 60) -> DataFrame | None:
+    """(id, root) of the reduced core.
+
+    A core of at most ``enough`` edges (counted before) is solved in one task; a larger one by alternating stars on
+    (u, v) edges until the edges are stars around the smallest node.
+    """
     if not left:
         return None
     e = e.filter("u > v").select("u", "v")
+    if left <= 2 * enough:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.coalesce(1).mapInArrow(_find_in_one_task, f"id {kind}, root {kind}")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large.filter("u <> v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.filter("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = tuple(now)
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            labels = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return labels.unionByName(labels.select(F.col("root").alias("id"), "root").distinct())
+        before = now
     raise RuntimeError("components did not settle")
 
 
-def components(edges: DataFrame, rounds: int = 24, stop_share: float = 0.02) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, enough: int = CORE_EDGES) -> DataFrame:
     """(component_id, id, n) of every node of an edge; ``component_id`` is the smallest node id of the component.
 
     ``edges``: columns u, v of one type; loops, repeats and nulls are allowed and tie nothing. Empty edges give an
     empty result.
     """
     e = cut(_symmetric(edges.filter("u is not null and v is not null")))
-    e, removed, left = _contract(e, rounds, stop_share)
-    labels = _solve_core(e, left)
-    if labels is not None:
-        roots = labels.select(F.col("root").alias("id"), "root").distinct()
-        labels = cut(labels.unionByName(roots))
+    e, removed, left = _contract(e, rounds, enough)
+    labels = _solve_core(e, left, enough)
     for k, gone in enumerate(reversed(removed)):
         if labels is None:
             labels = gone.select(F.col("u").alias("id"), F.col("a").alias("root"))
@@ -127,11 +153,12 @@ def components(edges: DataFrame, rounds: int = 24, stop_share: float = 0.02) ->
         node = edges.select(F.col("u").alias("component_id"), F.col("v").alias("id"))
         return node.limit(0).withColumn("n", F.lit(0).cast("bigint"))
     labels = cut(labels)
-    own = labels.select(F.col("root").alias("id"), "root").distinct().join(labels.select("id"), "id", "left_anti")
-    labels = cut(labels.unionByName(own.select("id", "root")))
+    per = labels.groupBy("root").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("c"), F.max((F.col("id") == F.col("root")).cast("int")).alias("own"))
+    # a tree that was stripped down to its root has no row for the root itself
+    per = cut(per.select("root", F.least("low", "root").alias("component_id"), (F.col("c") + 1 - F.col("own")).alias("n"), "own"))
     total = labels.count()
-    per = cut(labels.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    return attach_by_key(labels, per, ["root"], "n", total).select("component_id", "id", "n")
+    members = attach_by_key(labels, per.select("root", "component_id", "n"), ["root"], "n", total).select("component_id", "id", "n")
+    return members.unionByName(per.filter("own = 0").select("component_id", F.col("root").alias("id"), "n"))
 
 
 def message_ties(messages: DataFrame, overlap: DataFrame | None = None, hashes: bool = True) -> DataFrame:
