@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweir.llm import encode, lookalike, mixture
+from mailweir.llm import encode, language, lookalike, mixture, pii
 from mailweir.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The queries' key; a user passes an own secret to the operator.
+PSEUDONYM_KEY = "example-key"
 TEXTS = ("id", "subject", "body")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(table(spark, d, "messages", (*TEXTS, "language")))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = language.detect(table(spark, d, "messages", (*TEXTS, "language")))
+    return found.select("id", "segment", "lang", "confidence", "ambiguous")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.disguised_pairs(table(spark, d, "messages", TEXTS))
 
@@ -33,11 +44,23 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix_report(p9_mix(spark, d), table(spark, d, "source_weights"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "documents", ("doc_id", "text")))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_documents(table(spark, d, "documents", ("doc_id", "text")), PSEUDONYM_KEY)
+
+
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 SQL: dict[str, str] = {}
