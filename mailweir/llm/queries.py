@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweir.llm import encode, language, lookalike, mixture, pii
+from mailweir.llm import encode, language, lookalike, mixture, pii, quoted
 from mailweir.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,22 @@ def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalise(table(spark, d, "messages", TEXTS), "subject", "body")
 
 
+def _mails(spark: SparkSession, d: str) -> DataFrame:
+    return quoted.mail_table(table(spark, d, "thu", ("id_thu", "noi_dung")), table(spark, d, "messages", ("id", "body")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return quoted.not_new_lines(_mails(spark, d))
+
+
+def p6_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return quoted.new_text(_mails(spark, d))
+
+
+def p6_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return quoted.ancestors(_mails(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents", ("doc_id", "text")))
 
@@ -57,6 +73,9 @@ QUERIES: dict[str, Query] = {
     "p1_segments": p1_segments,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
+    "p6_found": p6_found,
+    "p6_new_text": p6_new_text,
+    "p6_ancestors": p6_ancestors,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
