@@ -26,7 +26,7 @@ from mailweir.session import cut
 BANDS, ROWS = 26, 6
 #: One-bit sketch beside each band key: 48 bits share a long with the length, 64 more have their own. A pair at the limit
 #: agrees in 101.8 of 112 bits on average (deviation 3.0).
-LENGTH_BITS, SKETCH_BITS, SKETCH_LEAST = 48, 112, 87
+LENGTH_BITS, SKETCH_BITS, SKETCH_LEAST = 48, 112, 90
 LEAST_WORDS = 30
 #: One word in so many may differ; the longer text counts.
 TENTH = 10
@@ -37,13 +37,13 @@ _B = _rng.integers(0, 2**63, _P, dtype=np.uint64)
 _C = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 
-_TEXT_SCHEMA = "id string, side int, n int, wlo long, whi long, clo long, chi long, words binary"
+_TEXT_SCHEMA = "id string, side int, wlo long, clo long, chi long, words binary"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
+    known: dict[str, bytes] = {}
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(6)]
         for i, side, s, b in zip(*(c.to_pylist() for c in batch.columns)):
             ws, wb = words(s), words(b)
             both = ws + wb
@@ -55,16 +55,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in both:
                 h = known.get(w)
                 if h is None:
-                    h = known[w] = xxhash.xxh32_intdigest(w)
+                    h = known[w] = xxhash.xxh32_intdigest(w).to_bytes(4, "little")[:3]
                 hashed.append(h)
             x, y = "".join(ws), "".join(wb)
             if y < x:
                 x, y = y, x
-            row = (i, side, len(both), *digest128(" ".join(both)), *digest128(f"{x}\0{y}"), np.array(hashed, np.uint32).tobytes())
+            row = (i, side, digest128(" ".join(both))[0], *digest128(f"{x}\0{y}"), b"".join(hashed))
             for col, v in zip(out, row):
                 col.append(v)
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["id", "side", "n", "wlo", "whi", "clo", "chi", "words"])
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["id", "side", "wlo", "clo", "chi", "words"])
+
+
+def unpack(words_: bytes) -> np.ndarray:
+    """Word hashes of 24 bits."""
+    b = np.frombuffer(words_, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
 
 
 def numbered(tokens: np.ndarray) -> np.ndarray:
@@ -96,8 +102,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            rid, n, blobs = (c.to_pylist() for c in part.columns)
-            sig = signatures([numbered(np.frombuffer(w, np.uint32)) for w in blobs])
+            rid, blobs = (c.to_pylist() for c in part.columns)
+            n = [len(w) // 3 for w in blobs]
+            sig = signatures([numbered(unpack(w)) for w in blobs])
             bits = np.zeros((2, len(rid)), np.uint64)
             for k in range(SKETCH_BITS):
                 word, place = (0, k) if k < LENGTH_BITS else (1, k - LENGTH_BITS)
@@ -148,7 +155,7 @@ def word_distance(a: list[int], b: list[int]) -> int:
 def _near(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
-        u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        u, v = unpack(x), unpack(y)
         longer = max(len(u), len(v))
         shared = len(np.intersect1d(numbered(u), numbered(v), assume_unique=True))
         # Jaccard similarity of the numbered words: at the limit (n - k) / (n + k) with k = n / 10
@@ -174,7 +181,7 @@ def overlap_pairs(messages: DataFrame) -> DataFrame:
     rows = cut(rows.mapInArrow(_texts, _TEXT_SCHEMA))
 
     # copies by letters and digits, in blocks
-    light = rows.select("id", "side", "wlo", "whi", "clo", "chi")
+    light = rows.select("id", "side", "wlo", "clo", "chi")
     per = light.groupBy("clo", "chi").agg(F.sum(1 - F.col("side")).alias("nt"), F.sum("side").alias("ne")).filter("nt > 0 and ne > 0")
     copied = cut(light.join(per, ["clo", "chi"]))
     train = copied.filter("side = 0").select(F.col("id").alias("train_id"), "clo", "chi", "nt", "ne")
@@ -182,27 +189,24 @@ def overlap_pairs(messages: DataFrame) -> DataFrame:
     exact = block_pairs(train, evalu, ["clo", "chi"], "nt", "ne").select("train_id", "eval_id")
 
     # near copies between distinct word sequences
-    texts = rows.groupBy("wlo").agg(
-        F.max((F.col("side") == 0).cast("int")).alias("t"), F.max("side").alias("e"), F.first("n").alias("n"), F.first("words").alias("w")
-    )
-    def banded(side: str, *names: str) -> DataFrame:
-        rows = texts.filter(F.col(side) == 1).select("wlo", "n", "w").mapInArrow(_bands, "key long, rid long, sk long, sl long")
+    # (all uses need both aggregates, so that one exchange serves them all)
+    texts = rows.groupBy("wlo").agg(F.bit_or(F.col("side") + 1).alias("sides"), F.first("words").alias("w"))
+
+    def banded(side: int, *names: str) -> DataFrame:
+        rows = texts.filter(F.col("sides").bitwiseAND(F.lit(side)) > 0).select("wlo", "w").mapInArrow(_bands, "key long, rid long, sk long, sl long")
         return rows.toDF("key", *names)
 
-    a, b = banded("t", "wt", "st", "rt"), banded("e", "we", "se", "re")
+    a, b = banded(1, "wt", "st", "rt"), banded(2, "we", "se", "re")
     mask = F.lit((1 << LENGTH_BITS) - 1)
     nt, ne = F.shiftright("st", LENGTH_BITS), F.shiftright("se", LENGTH_BITS)
     differ = F.bit_count(F.col("st").bitwiseXOR(F.col("se")).bitwiseAND(mask)) + F.bit_count(F.col("rt").bitwiseXOR(F.col("re")))
     close = (TENTH * F.abs(nt - ne) <= F.greatest(nt, ne)) | (F.least(nt, ne) == 0x7FFF)
     pairs = a.join(b, "key").filter((F.col("wt") != F.col("we")) & close & (differ <= SKETCH_BITS - SKETCH_LEAST))
     pairs = pairs.select("wt", "we").distinct()
-    pairs = cut(pairs)
-    blobs = rows.select("wlo", "words")
-    need = pairs.select(F.col("wt").alias("wlo")).unionByName(pairs.select(F.col("we").alias("wlo"))).distinct()
-    blobs = cut(blobs.join(need, "wlo", "left_semi").groupBy("wlo").agg(F.first("words").alias("words")))
+    known = texts.filter("sides > 0").select("wlo", "w")
     checked = (
-        pairs.join(blobs.select(F.col("wlo").alias("wt"), F.col("words").alias("x")), "wt")
-        .join(blobs.select(F.col("wlo").alias("we"), F.col("words").alias("y")), "we")
+        pairs.join(known.toDF("wt", "x"), "wt")
+        .join(known.toDF("we", "y"), "we")
         .filter(_near("x", "y"))
         .select("wt", "we")
     )
