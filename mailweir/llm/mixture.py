@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mailweir.llm.encode import DEFAULT_RANKS, token_count
 from mailweir.session import cut
@@ -95,6 +96,6 @@ def mix_report(mixed: DataFrame, weights: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("used_tokens"), F.max("times").alias("most_times")
     )
     joined = weights.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["n_docs", "used_tokens", "most_times"])
-    whole = mixed.agg(F.sum(F.col("n_tokens") * F.col("times")).alias("whole"))
-    out = joined.crossJoin(F.broadcast(whole))  # one row
-    return out.select("source", "target_share", "max_repeats", "n_docs", "used_tokens", "most_times", (F.col("used_tokens") / F.col("whole")).alias("actual_share"))
+    whole = F.sum("used_tokens").over(Window.partitionBy())  # over one row a source
+    share = F.when(whole == 0, 0.0).otherwise(F.col("used_tokens") / whole)
+    return joined.select("source", "target_share", "max_repeats", "n_docs", "used_tokens", "most_times", share.alias("actual_share"))
