@@ -82,6 +82,8 @@ def assign_splits(messages: DataFrame, targets: DataFrame) -> DataFrame:
     ``messages`` give an empty result.
     """
     wanted = sorted(((r["split"], float(r["ratio"])) for r in targets.filter("ratio > 0").collect()), key=lambda x: (-x[1], x[0]))
+    if not wanted:
+        raise ValueError("split targets hold no positive ratio")
     names, ratios = [n for n, _ in wanted], [r / sum(x for _, x in wanted) for _, r in wanted]
     ties = message_components(messages, None, hashes=False).select("component_id", "id")
     rows = messages.select("id", label_class(F.col("label")).alias("label_class")).join(ties, "id", "left")

@@ -174,8 +174,8 @@ def _side(split: Column) -> Column:
 def overlap_pairs(messages: DataFrame) -> DataFrame:
     """(train_id, eval_id) of all cross-split copies and near copies.
 
-    Rows without a split, and texts under 30 words, take no part. Null fields count as empty. Repeated rows give
-    repeated ids once a pair. Empty tables give an empty result.
+    Rows without a split, and texts under 30 words, take no part. Null fields count as empty. A row that repeats an id is
+    a row of its own, so its pairs are repeated. An empty table gives an empty result.
     """
     rows = messages.select("id", _side(F.col("split")).alias("side"), "subject", "body").filter("side is not null")
     rows = cut(rows.mapInArrow(_texts, _TEXT_SCHEMA))
