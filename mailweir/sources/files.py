@@ -54,9 +54,13 @@ def probe_encoding(path: str, block: int = 1 << 20) -> str:
 def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str | None = None) -> DataFrame:
     """All columns as text (never inferred); only wanted columns that exist; quoted line breaks kept."""
     name = encoding or probe_encoding(path)
-    java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[name]
+    java = "UTF-8" if name.startswith("utf-8") else "ISO-8859-1"
     sep = "\t" if path.lower().endswith(".tsv") else ","
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', encoding=java, ignoreLeadingWhiteSpace=False)
+    if name == "cp1252":  # Spark reads no cp1252; it differs from ISO-8859-1 in these bytes only
+        low = "".join(map(chr, range(0x80, 0xA0)))
+        high = "".join(bytes([ord(c)]).decode("cp1252", "replace") for c in low)
+        df = df.select(*[F.translate(F.col(f"`{c}`"), low, high).alias(c.translate(str.maketrans(low, high))) for c in df.columns])
     first = df.columns[0]
     if first.startswith("﻿"):
         df = df.withColumnRenamed(first, first.lstrip("﻿"))
@@ -191,7 +195,7 @@ def parse_mail(data: bytes) -> dict[str, str]:
         (plain if kind == "text/plain" else rich).append(text)
     body = "\n".join(plain) if any(t.strip() for t in plain) else "\n".join(page_text(t) for t in rich)
     receivers = [x for x in (_header(message.get("to")), _header(message.get("cc"))) if x]
-    return {"sender": _header(message.get("from")), "receiver": ", ".join(receivers), "date": _header(message.get("date")), "subject": _header(message.get("subject")), "body": body.strip()}
+    return {"sender": _header(message.get("from")), "receiver": ", ".join(receivers), "date": _header(dict(message.raw_items()).get("Date")), "subject": _header(message.get("subject")), "body": body.strip()}
 
 
 MAIL_SCHEMA = "path string, sender string, receiver string, date string, subject string, body string"
