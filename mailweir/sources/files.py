@@ -222,7 +222,7 @@ def mail_address(col: pa.Array) -> pa.Array:
     """struct(display, address, domain) of a sender; nulls where there is no address."""
     out = []
     for v in col.to_pylist():
-        name, address = parseaddr(v or "")
+        name, address = parseaddr(v or "", strict=False)
         ok = "@" in address
         out.append((name or None, address if ok else None, address.rsplit("@", 1)[1].strip("[]").lower() if ok else None))
     return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], ["display", "address", "domain"])
