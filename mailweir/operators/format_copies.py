@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from mailweir.functions.canonical import digest128, letter_count, squash
 from mailweir.operators.skew import hot_threshold
-from mailweir.session import cut
+from mailweir.session import cut, spread
 
 _KEY = StructType([StructField("lo", LongType()), StructField("hi", LongType()), StructField("letters", IntegerType())])
 
@@ -36,6 +36,7 @@ def format_key(subject: pa.Array, body: pa.Array) -> pa.Array:
 
 def keyed(df: DataFrame, id_col: str, first: str, second: str) -> DataFrame:
     """(id, lo, hi, letters), one row for each row of ``df``; null fields count as empty."""
+    df = spread(df.select(id_col, first, second))
     k = df.select(F.col(id_col).alias("id"), format_key(F.col(first), F.col(second)).alias("k"))
     return k.select("id", "k.lo", "k.hi", "k.letters")
 

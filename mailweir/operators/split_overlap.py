@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType
 
 from mailweir.functions.canonical import digest128, words
 from mailweir.operators.skew import block_pairs
-from mailweir.session import cut
+from mailweir.session import cut, spread
 
 BANDS, ROWS = 26, 6
 #: One-bit sketch beside each band key: 48 bits share a long with the length, 64 more have their own. A pair at the limit
@@ -178,7 +178,7 @@ def overlap_pairs(messages: DataFrame) -> DataFrame:
     a row of its own, so its pairs are repeated. An empty table gives an empty result.
     """
     rows = messages.select("id", _side(F.col("split")).alias("side"), "subject", "body").filter("side is not null")
-    rows = cut(rows.mapInArrow(_texts, _TEXT_SCHEMA))
+    rows = cut(spread(rows).mapInArrow(_texts, _TEXT_SCHEMA))
 
     # copies by letters and digits, in blocks
     light = rows.select("id", "side", "wlo", "clo", "chi")
