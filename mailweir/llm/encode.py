@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from mailweir.session import spread
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern of the byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,5 +141,5 @@ def token_count(path: str = DEFAULT_RANKS):
 
 
 def encode_corpus(documents: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
-    """(doc_id, ids), one row a document; no shuffle."""
-    return documents.select("doc_id", token_ids(path)(F.col("text")).alias("ids"))
+    """(doc_id, ids), one row a document; no shuffle, unless the input has fewer splits than there are cores."""
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(path)(F.col("text")).alias("ids"))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailweir.functions.canonical import canonical
+from mailweir.session import spread
 
 LANGUAGES = ("en", "vi", "fr", "de", "es")
 SAMPLE = 1200
@@ -315,7 +316,7 @@ def detect(messages: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     rows = messages.select("id", label_language(F.col("language")).alias("label"), "subject", "body")
-    return rows.mapInArrow(run, _SCHEMA)
+    return spread(rows).mapInArrow(run, _SCHEMA)
 
 
 def wrong_labels(messages: DataFrame, model: Model | None = None, least_letters: int = 20) -> DataFrame:

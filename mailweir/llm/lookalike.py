@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from mailweir.functions.canonical import digest128, letter_count, settle, unstable_pattern
 from mailweir.operators.skew import block_pairs
-from mailweir.session import cut
+from mailweir.session import cut, spread
 
 
 @lru_cache(1)
@@ -96,7 +96,7 @@ def disguised_pairs(df: DataFrame, id_col: str = "id", first: str = "subject", s
     Null counts as empty. Records of few letters never match. Only keys with two stored forms are paired; a key's
     rows are paired in blocks, and rows of one stored form are not paired with each other.
     """
-    rows = df.select(F.col(id_col).alias("id"), form_key(F.col(first), F.col(second)).alias("k"))
+    rows = spread(df.select(id_col, first, second)).select(F.col(id_col).alias("id"), form_key(F.col(first), F.col(second)).alias("k"))
     rows = rows.select("id", "k.lo", "k.hi", "k.raw", "k.letters").filter(F.col("letters") >= least_letters).drop("letters")
     rows = cut(rows)
     per = rows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("r0"), F.max("raw").alias("r1"))
