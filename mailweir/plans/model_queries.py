@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailweir.operators import allocation, features, grouped_split, robustness
 from mailweir.operators.components import clean_key
 from mailweir.plans.registry import Registry
+from mailweir.session import spread
 from mailweir.sources.tables import table
 
 query = Registry()
@@ -67,7 +68,7 @@ def embedding_neighbours(spark, d):
 
 
 def _trained(spark, d, kind):
-    m = table(spark, d, "messages", ("id", "subject", "body", "label", "group_id"))
+    m = spread(table(spark, d, "messages", ("id", "subject", "body", "label", "group_id")))
     rows = m.select("id", features.message_text(F.col("subject"), F.col("body")).alias("text"), F.lower(F.trim("label")).alias("label"), F.coalesce("group_id", "id").alias("grp"))
     folds = features.group_folds(rows.filter("label in ('normal','spam','phishing')"), "grp")
     model = features.text_pipeline(kind, vocabulary=5000).fit(features.balanced(folds.filter("fold <> 0")))

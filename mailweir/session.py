@@ -49,7 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, before costly Python work.
 
-    Only an input of fewer file splits than cores is shuffled; a large one is handed back as it is.
+    Only an input of fewer file splits than cores is shuffled; a large one, and one that comes out of a shuffle, is
+    handed back as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

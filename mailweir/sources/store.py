@@ -1,4 +1,7 @@
-"""A versioned mailbox store on append-only Parquet tables. One writer; a commit is a renamed batch folder."""
+"""A versioned mailbox store on append-only Parquet tables.
+
+One writer; a commit is a renamed batch folder. The path lies on a file system that the driver and the executors share.
+"""
 
 from __future__ import annotations
 
