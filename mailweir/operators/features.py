@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,7 +111,7 @@ def text_pipeline(kind: str, vocabulary: int = 20000, min_df: int = 2) -> Pipeli
         stages=[
             RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
             NGram(n=2, inputCol="w1", outputCol="w2"),
-            _Both(),
+            SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"),
             CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary, minDF=min_df),
             StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep", stringOrderType="alphabetAsc"),
             classifier(kind),
@@ -119,12 +119,6 @@ def text_pipeline(kind: str, vocabulary: int = 20000, min_df: int = 2) -> Pipeli
     )
 
 
-def _Both():
-    from pyspark.ml.feature import SQLTransformer
-
-    return SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__")
-
-
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """``df`` with weights that give every label the same sum."""
     n = F.count(F.lit(1))
@@ -138,6 +132,20 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(k)).cast("int"))
 
 
+def calibrated(scored: DataFrame, margins: dict[str, str], label: str = "label") -> DataFrame:
+    """``scored`` with ``p_<label>`` columns that sum to one: a sigmoid fitted to each label's margin column.
+
+    The margins should come from folds in which the rows took no part (see ``group_folds``).
+    """
+    for name, column in margins.items():
+        rows = scored.select(F.col(column).cast("double").alias("m"), (F.col(label) == name).cast("double").alias("hit"))
+        rows = VectorAssembler(inputCols=["m"], outputCol="v").transform(rows)
+        fitted = LogisticRegression(featuresCol="v", labelCol="hit", standardization=False).fit(rows)
+        scored = scored.withColumn(f"p_{name}", 1.0 / (1.0 + F.exp(-(F.col(column) * float(fitted.coefficients[0]) + float(fitted.intercept)))))
+    total = sum((F.col(f"p_{n}") for n in margins), F.lit(0.0))
+    return scored.withColumns({f"p_{n}": F.col(f"p_{n}") / total for n in margins})
+
+
 def probability_violations(df: DataFrame, columns: list[str], tolerance: float = 1e-7) -> DataFrame:
     """Rows whose probabilities are no numbers in [0, 1] that sum to one."""
     total = sum((F.col(c) for c in columns), F.lit(0.0))
