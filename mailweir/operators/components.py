@@ -3,7 +3,7 @@
 Each round removes an independent set of vertices of degree one (rake) and of degree two (compress: the independent
 set is the list-ranking step on chains, chosen by random priorities, so a chain of any length loses a constant share
 per round). A removed vertex remembers one neighbour; a removed chain vertex leaves an edge between its neighbours.
-Rounds go on until the core is small, or until nothing more can be removed. A core within a fixed bound is solved in
+Some rounds are always made; more follow until the core is small, or until nothing more can be removed. A core within a fixed bound is solved in
 one task, a larger one by alternating large-star and small-star steps; then labels are restored to the removed
 vertices, last round first.
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from mailweir.operators.skew import attach_by_key
 from mailweir.session import cut
 
+#: So many rounds are always made, whatever the size.
+LEAST_ROUNDS = 3
 #: A reduced core of so many edges, counted before, is solved in one task; contraction goes on until then.
 CORE_EDGES = 250_000
 
@@ -54,7 +56,7 @@ def _contract(e: DataFrame, rounds: int, enough: int) -> tuple[DataFrame, list[D
     removed: list[DataFrame] = []
     left = e.count()
     for k in range(rounds):
-        if left <= 2 * enough:
+        if not left or k >= LEAST_ROUNDS and left <= 2 * enough:
             break
         degree = e.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("a"), F.max("v").alias("b"))
         small = degree.filter("d <= 2").withColumn("p", F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("i")))
