@@ -27,6 +27,17 @@ def evidence(df: DataFrame, text: Column) -> DataFrame:
     )
 
 
+def full_text(*columns: Column) -> Column:
+    """All fields of a record joined by blanks; missing ones are empty."""
+    return F.trim(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns]))
+
+
+def subject_evidence(df: DataFrame, text: Column, subject: Column | None = None) -> DataFrame:
+    """``df`` with the tokens of the subject, or of the first 240 characters of the text where there is none."""
+    head = F.substring(text, 1, 240)
+    return df.withColumn("subject_tokens", X.tokens(head if subject is None else F.coalesce(F.nullif(subject, F.lit("")), head)))
+
+
 def field_values(profiles: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field, value) of every value."""
     def named(f: str) -> Column:
@@ -64,6 +75,42 @@ def scored(pairs: DataFrame) -> DataFrame:
     return both.select("left_id", "right_id", "points", F.least(F.lit(1.0), F.col("points") / FULL_SCORE).alias("score"), "n_types")
 
 
+def overlap_scored(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, points, score, n_types) over all shared values of the candidate pairs, rare or not.
+
+    Points by how many left records hold a value: 5 or 3 a mailbox (to three of them 5; the first three in order count),
+    6 or 4 a page, 2 an identifier (6 at most), 2.5, 1.75 or 1 a token (ten count, 10 at most), 1.5 or 0.75 a number
+    (eight count, 5 at most); 1.25 a token of both subjects (4 at most) and 0.5 for texts of like length.
+    """
+    few = document_frequency(left).filter("df <= 3")  # all tiers end at three
+    tiers = field_values(left).join(few, ["field", "value"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "field", "value"), "df"))).alias("few"))  # values of one record
+    used = [*FIELDS, "subject_tokens", "n_chars"]
+    a = left.join(tiers, "id", "left").select(F.col("id").alias("left_id"), "few", *[F.col(c).alias(f"l_{c}") for c in used])
+    b = right.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in used])
+    both = pairs.select("left_id", "right_id").distinct().join(a, "left_id").join(b, "right_id")
+    both = both.select("left_id", "right_id", "few", "l_n_chars", "r_n_chars", *[F.array_sort(F.array_intersect(f"l_{c}", f"r_{c}")).alias(c) for c in used[:-1]])
+
+    def total(field: str, most: int, points) -> Column:
+        def of(value: Column) -> Column:
+            return points(F.coalesce(F.element_at("few", F.concat(F.lit(field + ":"), value)), F.lit(4)))
+
+        return F.aggregate(F.slice(field, 1, most), F.lit(0.0), lambda s, v: s + of(v))
+
+    ratio = F.col("r_n_chars") / F.nullif(F.col("l_n_chars"), F.lit(0))
+    points = (
+        total("emails", 3, lambda n: F.when(n <= 3, 5.0).otherwise(3.0))
+        + total("urls", 3, lambda n: F.when(n <= 3, 6.0).otherwise(4.0))
+        + F.least(F.lit(6.0), 2.0 * F.size("identifiers"))
+        + F.least(F.lit(10.0), total("tokens", 10, lambda n: F.when(n == 1, 2.5).when(n <= 3, 1.75).otherwise(1.0)))
+        + F.least(F.lit(5.0), total("numbers", 8, lambda n: F.when(n == 1, 1.5).otherwise(0.75)))
+        + F.least(F.lit(4.0), 1.25 * F.size("subject_tokens"))
+        + F.when(ratio.between(0.55, 2.6), 0.5).otherwise(0.0)
+    )
+    n_types = sum(((F.size(f) > 0).cast("int") for f in FIELDS), F.lit(0))
+    out = both.select("left_id", "right_id", points.alias("points"), n_types.cast("bigint").alias("n_types"))
+    return out.select("left_id", "right_id", "points", F.least(F.lit(1.0), F.col("points") / FULL_SCORE).alias("score"), "n_types")
+
+
 def ranked(scores: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` best left records of each right one, with the margin of the first over the second."""
     w = Window.partitionBy("right_id").orderBy(F.col("points").desc(), "left_id")

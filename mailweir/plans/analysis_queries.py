@@ -10,6 +10,7 @@ from mailweir.operators import audit as A
 from mailweir.operators import linkage as K
 from mailweir.operators import metrics as M
 from mailweir.plans.registry import Registry
+from mailweir.session import cut
 from mailweir.sources.tables import table
 
 query = Registry()
@@ -106,6 +107,29 @@ def link_topk(spark, d):
     return top.select("left_id", "right_id", F.round("points", 6).alias("points"), "n_types", F.col("candidate_rank").cast("bigint").alias("candidate_rank"), F.round("margin", 6).alias("margin"))
 
 
+def _full_sides(spark, d):
+    m = _messages(spark, d, "sender", "receiver", "date", "subject", "body", "language", "parent_id")
+    m = m.withColumn("text", K.full_text(*[F.col(c) for c in ("sender", "receiver", "date", "subject", "body")]))
+    left = m.filter("language = 'en' and coalesce(parent_id,'') = ''")
+    right = m.filter("language = 'vi'")
+    text = F.col("text")
+    sides = K.subject_evidence(K.evidence(left, text), text, F.col("subject")), K.subject_evidence(K.evidence(right, text), text)
+    return tuple(cut(s.select("id", *K.FIELDS, "subject_tokens", "n_chars")) for s in sides)
+
+
+@query("blocking_candidates_full")
+def blocking_candidates_full(spark, d):
+    """All five fields over sender, receiver, date, subject and body; ``blocking_candidates`` keeps to what its SQL says."""
+    return K.candidates(*_full_sides(spark, d)).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+@query("link_topk_full")
+def link_topk_full(spark, d):
+    left, right = _full_sides(spark, d)
+    top = K.ranked(K.overlap_scored(K.candidates(left, right), left, right))
+    return top.select("left_id", "right_id", "points", "score", "n_types", F.col("candidate_rank").cast("bigint").alias("candidate_rank"), "margin")
+
+
 @query("single_links", "select vietnamese_id as right_id, min(english_id) as left_id from cross_language_overlap where vietnamese_id is not null and lower(trim(review_status)) = 'confirmed' group by 1 having count(distinct english_id) = 1")
 def single_links(spark, d):
     o = table(spark, d, "cross_language_overlap").filter("vietnamese_id is not null and lower(trim(review_status)) = 'confirmed'")
