@@ -14,9 +14,12 @@ def message_text(subject: Column, body: Column) -> Column:
     return F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
 
 
-def word_terms(text: Column) -> Column:
-    """ASCII words of two or more characters and their pairs."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+ASCII_WORD, ANY_WORD = "[a-z0-9]{2,}", r"[\p{L}\p{N}_]{2,}"
+
+
+def word_terms(text: Column, word: str = ASCII_WORD) -> Column:
+    """Words of two or more characters (``word``: of ASCII or any letters) and their pairs."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
     n = F.size(w)
     two = F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(w, two)

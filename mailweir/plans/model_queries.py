@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailweir.operators import allocation, features, grouped_split, robustness
 from mailweir.operators.components import clean_key
 from mailweir.plans.registry import Registry
-from mailweir.session import spread
+from mailweir.session import cut, spread
 from mailweir.sources.tables import table
 
 query = Registry()
@@ -24,6 +24,37 @@ def _weights(spark, d):
     return features.tfidf(m, features.word_terms(F.coalesce("subject", F.lit(""))))
 
 
+def _text(spark, d, *columns):
+    m = table(spark, d, "messages", ("id", "subject", "body", *columns))
+    return m.select("id", features.message_text(F.col("subject"), F.col("body")).alias("text"), *columns)
+
+
+def _text_weights(spark, d):
+    m = spread(_text(spark, d))
+    return features.tfidf(m, features.word_terms(F.col("text"), features.ANY_WORD))
+
+
+def _labels(spark, d):
+    return table(spark, d, "messages", ("id", "label")).select("id", F.lower(F.trim("label")).alias("label")).filter("label in ('normal','spam','phishing')")
+
+
+@query("tfidf_text_weights")
+def tfidf_text_weights(spark, d):
+    """Weights over subject and body; ``tfidf_weights`` keeps to the subject, as its SQL says."""
+    return _text_weights(spark, d)
+
+
+@query("tfidf_text_class_terms")
+def tfidf_text_class_terms(spark, d):
+    return features.class_coefficients(cut(_text_weights(spark, d)), _labels(spark, d))
+
+
+@query("char_text_ngrams")
+def char_text_ngrams(spark, d):
+    """3- to 5-grams of subject and body; ``char_ngrams`` keeps to 3-grams of the subject, as its SQL says."""
+    return spread(_text(spark, d)).select(F.explode(features.char_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("tfidf_weights", _TFIDF + " select id, term, round(weight, 8) as weight from x")
 def tfidf_weights(spark, d):
     return _weights(spark, d).select("id", "term", F.round("weight", 8).alias("weight"))
@@ -43,9 +74,8 @@ def tfidf_class_terms(spark, d):
 @query("top_contributions")
 def top_contributions(spark, d):
     """The five strongest terms a text and label: the limit is the feature."""
-    labels = table(spark, d, "messages", ("id", "label")).select("id", F.lower(F.trim("label")).alias("label")).filter("label in ('normal','spam','phishing')")
-    w = _weights(spark, d)
-    return features.contributions(w, features.class_coefficients(w, labels))
+    w = cut(_text_weights(spark, d))
+    return features.contributions(w, features.class_coefficients(w, _labels(spark, d)))
 
 
 @query("char_ngrams", "select term, count(*) as n from (select unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])) as term from (select ' ' || unnest(string_split(trim(regexp_replace(lower(coalesce(subject,'')), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')), ' ')) || ' ' as w from messages)) group by 1")
