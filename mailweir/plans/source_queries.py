@@ -32,6 +32,13 @@ def sender_addresses(spark, d):
     return t.select("id_thu", files.mail_address(F.col("nguoi_gui")).alias("a")).select("id_thu", "a.domain")
 
 
+@query("sender_addresses_all")
+def sender_addresses_all(spark, d):
+    """Every mail, whatever the shape of its sender; ``sender_addresses`` keeps to the shape that its SQL reads."""
+    t = table(spark, d, "thu", ("id_thu", "nguoi_gui"))
+    return t.select("id_thu", files.mail_address(F.col("nguoi_gui")).alias("a")).select("id_thu", "a.domain")
+
+
 @query(
     "rule_hits",
     f"select code, count(*) as n_rows, sum(n)::bigint as n_hits from (select 'deadline' as code, len(regexp_extract_all({_T}, 'within [0-9]+ hours')) as n from messages union all select 'secret', len(regexp_extract_all({_T}, 'password|mật khẩu')) from messages union all select 'offer', len(regexp_extract_all({_T}, '[0-9]+% (?:off|less)')) from messages) where n > 0 group by 1",
