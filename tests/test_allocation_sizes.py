@@ -1,0 +1,29 @@
+import random
+from collections import Counter
+
+from mailweir.operators import allocation as A
+
+RATIOS = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
+def test_one_rule_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(A, "STRATUM_GROUPS", 100, raising=False)
+    monkeypatch.setattr(A, "BATCH", 64, raising=False)
+    r = random.Random(2)
+    groups = [("giant", 500)] + [(f"g{i}", r.choice([1, 1, 1, 2, 3])) for i in range(640)]
+    forced = [("f1", 7), ("f2", 2)]
+    rows = [(g, n, 1, "spam", "s", 0) for g, n in groups] + [(g, n, 1, "spam", "s", 1) for g, n in forced]
+    rows += [(f"o{i}", 1, 1, None, "s+t", None) for i in range(20)] + [("only", 3, 1, "normal", "u", 1)]
+    df = spark.createDataFrame(rows, "group_id string, size long, n_labels long, label string, stratum string, forced int")
+    found = A.assign(df, RATIOS).collect()
+    got = {x["group_id"]: x["split"] for x in found}
+    assert len(found) == len(rows) and len(got) == len(rows)
+    whole = A.integer_targets(sum(n for _, n in groups + forced), RATIOS)
+    rest = {**whole, "train": whole["train"] - 9}
+    want = A.allocate(groups, rest, "42|spam|s|0") | {"f1": "train", "f2": "train", "only": "train"}
+    want |= A.allocate([(f"o{i}", 1) for i in range(20)], A.integer_targets(20, RATIOS), "42|None|s+t|0")
+    assert got == want
+    filled = Counter()
+    for g, n in groups + forced:
+        filled[got[g]] += n
+    assert all(abs(filled[s] - whole[s]) <= 1 for s in whole)
