@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailweir.functions.canonical import canonical
+from mailweir.llm.canonical import canonical
 from mailweir.session import spread
 
 LANGUAGES = ("en", "vi", "fr", "de", "es")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from mailweir.functions.canonical import digest128, letter_count, settle, unstable_pattern
+from mailweir.llm.canonical import digest128, letter_count, settle, unstable_pattern
 from mailweir.operators.skew import block_pairs
 from mailweir.session import cut, spread
 

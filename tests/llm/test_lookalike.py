@@ -3,7 +3,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
-from mailweir.functions.canonical import canonical
+from mailweir.llm.canonical import canonical
 from mailweir.llm import lookalike as K
 
 POOL = "abеоcЕ ̣́ﬁ１ﾠ​­ДЂйểéơo̕ʼn… \n가각ᄀÐ "
