@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 
@@ -11,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Patterns that decide equal results.
-URL = r"(?i)(?:https?://|www\.)[^\s<>\"']+"
-EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
-SPACED_URL = r"(?i)(?:hxxps?|https?)\s*:\s*/\s*/\s*[^\s<>\"']+(?:\s*[./]\s*[^\s<>\"']+)*"
+URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"']+"
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+SPACED_URL = (
+    r"(?i)\b(?:hxxps?|https?)\s*:\s*/\s*/\s*[a-z0-9-]+(?:\s*\.\s*[a-z0-9-]+)+(?:\s*/\s*[a-z0-9._~!$&()*+=:@%-]+)*"
+    r"|\bwww\s*\.\s*[a-z0-9-]+(?:\s*\.\s*[a-z0-9-]+)+(?:\s*/\s*[a-z0-9._~!$&()*+=:@%-]+)*"
+)
+SPACED_EMAIL = r"(?i)\b[A-Z0-9._%+-]+\s*@\s*[A-Z0-9.-]+(?:\s*\.\s*[A-Z]{2,})\b"
 URL_TAIL = ".,;:!?)]}>"
 SUBJECT_PREFIXES = ("Subject", "Chủ đề", "Tiêu đề")
 
@@ -73,15 +79,19 @@ def mask(col: Column) -> Column:
 
 
 def mask_spaced(col: Column) -> Column:
-    """Also pages written with blanks or a defused scheme."""
-    return mask(F.regexp_replace(col, SPACED_URL, " <url> "))
+    """Plain pages and mailboxes first, then those written with blanks or a defused scheme."""
+    return F.regexp_replace(F.regexp_replace(_blanks(mask(col)), SPACED_URL, " <url> "), SPACED_EMAIL, " <email> ")
+
+
+def _blanks(col: Column) -> Column:
+    return F.trim(F.regexp_replace(col, r"\s+", " "))
 
 
 def duplicate_text(subject: Column, body: Column, template: bool = False, spaced: bool = False) -> Column:
     """Text whose equality means "same message": subject, line feed, body; folded; as a template with masks."""
     text = fold_text(F.concat_ws("\n", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit(""))))
     if template:
-        text = F.trim(F.regexp_replace(mask_spaced(text) if spaced else mask(text), r"\s+", " "))
+        text = _blanks(mask_spaced(text) if spaced else mask(text))
     return text
 
 
@@ -109,6 +119,26 @@ def mail_fingerprint(sender: Column, receiver: Column, cc: Column, subject: Colu
     return F.sha2(F.to_json(F.struct(*[normalize_text(c.cast("string")).alias(n) for n, c in sorted(named.items())])), 256)
 
 
+def relaxed_template(body: Column) -> Column:
+    """Template of a body alone, with spaced pages and mailboxes masked too."""
+    return duplicate_text(F.lit(""), body, True, True)
+
+
+def column_name(name: str) -> str:
+    """Plain name of a column: lower case, one underscore for each run of other characters than letters and digits."""
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
+def row_key(*parts: Column) -> Column:
+    """Digest that names a row by its content."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def config_fingerprint(config: dict) -> str:
+    """Digest of a configuration, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
 def excerpt(col: Column, n: int) -> Column:
     """Collapsed; cut to ``n`` characters, the last an ellipsis."""
     c = F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))

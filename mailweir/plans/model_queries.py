@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
-from mailweir.operators import allocation, features, grouped_split, robustness
-from mailweir.operators.components import clean_key
+from mailweir.operators import features, robustness
 from mailweir.plans.registry import Registry
 from mailweir.session import cut, spread
 from mailweir.sources.tables import table
@@ -126,23 +125,6 @@ def model_linear_svc(spark, d):
     return _scores(_trained(spark, d, "linear_svc"))
 
 
-@query(
-    "group_profiles",
-    "select group_id, count(*) as size, count(distinct label) as n_labels, min(label) as label, array_to_string(list_sort(list(distinct source)), '+') as stratum, max(case when split_constraint = 'train_only' then 1 else 0 end) as forced from messages where trim(coalesce(group_id,'')) <> '' and label is not null and source is not null group by 1",
-)
-def group_profiles(spark, d):
-    m = table(spark, d, "messages", ("group_id", "label", "source", "split_constraint")).filter("trim(coalesce(group_id,'')) <> '' and label is not null and source is not null")
-    return allocation.group_table(m, "group_id", "label", "source", "split_constraint").select("group_id", "size", "n_labels", "label", "stratum", F.coalesce("forced", F.lit(0)).alias("forced"))
-
-
-@query("group_allocation")
-def group_allocation(spark, d):
-    m = table(spark, d, "messages", ("id", "group_id", "label", "source", "split_constraint"))
-    m = m.withColumn("group_id", F.coalesce(clean_key(F.col("group_id")), "id")).withColumn("label", grouped_split.label_class(F.col("label")))
-    groups = allocation.group_table(m, "group_id", "label", "source", "split_constraint")
-    return allocation.assign(groups, {"train": 0.7, "validation": 0.15, "test": 0.15})
-
-
 @query("robust_variants", "select id as parent_id, 'spacing' as variant, replace(coalesce(body,''), ' ', '  ') as text from messages where label = 'phishing' union all select id, 'punctuation', replace(coalesce(body,''), '.', '!!') || ' ...' from messages where label = 'phishing' union all select id, 'clean', coalesce(body,'') from messages where label = 'phishing'")
 def robust_variants(spark, d):
     m = table(spark, d, "messages", ("id", "body", "label")).filter("label = 'phishing'")

@@ -62,4 +62,4 @@ def test_other_queries_run(spark, sf, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["component_id", "id"]
+    assert entry.entry(spark).columns == ["id", "canonical_id", "n_copies", "disposition"]
