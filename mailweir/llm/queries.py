@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailweir.llm import components, encode, format_copies, grouped_split, language, lookalike, mixture, pii, quoted, split_overlap
 from mailweir.sources.tables import table
@@ -73,6 +74,12 @@ def p6_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return quoted.ancestors(_mails(spark, d))
 
 
+def p6_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by the sources that found them."""
+    lines = quoted.line_sources(_mails(spark, d))
+    return lines.groupBy("tbl", "by_index", "by_recurrence", "by_fallback").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p7_split(spark: SparkSession, d: str) -> DataFrame:
     messages = table(spark, d, "messages", (*MESSAGE_KEYS, "label"))
     return grouped_split.assign_splits(messages, table(spark, d, "split_targets"))
@@ -115,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_new_text": p6_new_text,
     "p6_ancestors": p6_ancestors,
+    "p6_sources": p6_sources,
     "p7_split": p7_split,
     "p7_report": p7_report,
     "p8_ids": p8_ids,
