@@ -36,6 +36,16 @@ LOOKALIKES = {
     "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ",
 }
 
+#: Look-alikes of other scripts: a word keeps them if it holds a letter of such a script that looks like no Latin one, as
+#: then it is a word of that script.
+FOREIGN = frozenset(c for c in LOOKALIKES if ord(c) >= 0x370)
+
+
+def _of_foreign_script(c: str) -> bool:
+    o = ord(c)
+    return 0x370 <= o < 0x590 or 0x13A0 <= o < 0x1400
+
+
 # Characters that print nothing though their category is not Cf.
 SILENT_OTHERS = ("͏", "ᅟ", "ᅠ", "឴", "឵", "᠋", "᠌", "᠍", "᠏", "ㅤ", "ﾠ")
 
@@ -101,7 +111,7 @@ def unstable_pattern() -> str:
 
 @lru_cache(1)
 def _translation() -> dict[int, str | None]:
-    table: dict[int, str | None] = {ord(k): v for k, v in LOOKALIKES.items()}
+    table: dict[int, str | None] = {ord(k): v for k, v in LOOKALIKES.items() if k not in FOREIGN}
     for o in (*range(0x10000), *range(0x110BD, 0x110CE), *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE01F0)):
         ch = chr(o)
         if _silent(ch):
@@ -125,10 +135,23 @@ def canonical(text: str | None) -> str | None:
     return settle(text)
 
 
+_WORD_WITH_MARKS = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+
+
+def _latin(word: re.Match[str]) -> str:
+    text = word.group()
+    if any(_of_foreign_script(c) and c not in FOREIGN for c in text):
+        return text
+    return "".join(LOOKALIKES[c] if c in FOREIGN else c for c in text)
+
+
 def settle(text: str) -> str:
-    """The steps themselves, on any span that begins and ends at a boundary."""
-    t = _translation()
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFKD", text).translate(t))
+    """The steps themselves, on any span that begins and ends at a boundary (of words, where letters of other scripts
+    stand in it)."""
+    flat = unicodedata.normalize("NFKD", text).translate(_translation())
+    if not FOREIGN.isdisjoint(flat):
+        flat = _WORD_WITH_MARKS.sub(_latin, flat)
+    return unicodedata.normalize("NFC", flat)
 
 
 @F.arrow_udf(StringType())

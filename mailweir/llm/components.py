@@ -3,9 +3,9 @@
 Each round removes an independent set of vertices of degree one (rake) and of degree two (compress: the independent
 set is the list-ranking step on chains, chosen by random priorities, so a chain of any length loses a constant share
 per round). A removed vertex remembers one neighbour; a removed chain vertex leaves an edge between its neighbours.
-Some rounds are always made; more follow until the core is small, or until nothing more can be removed. A core within a fixed bound is solved in
-one task, a larger one by alternating large-star and small-star steps; then labels are restored to the removed
-vertices, last round first.
+Rounds follow until a round removes nothing: every vertex then has three neighbours or more, or none is left. This core is
+solved by alternating large-star and small-star steps; then labels are restored to the removed vertices, last round first.
+The rule is the same at every size.
 
 All steps are joins and aggregates over (id, id) rows; no adjacency list is ever built, nothing goes to the driver
 but row counts. Stars around a hot key vanish in the first round.
@@ -13,50 +13,24 @@ but row counts. Stars around a hot key vanish in the first round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailweir.operators.groups import star_components, value_edges
 from mailweir.operators.skew import attach_by_key
+from mailweir.operators.standardize import clean_key
 from mailweir.session import cut
 
-#: So many rounds are always made, whatever the size.
-LEAST_ROUNDS = 3
-#: A reduced core of so many edges, counted before, is solved in one task; contraction goes on until then.
-CORE_EDGES = 250_000
-
-# Words that stand for a missing key (after trimming, in lower case).
-MISSING_KEYS = ("", "none", "null", "nan", "n/a", "na", "empty")
-
-
-def clean_key(col: Column, lower: bool = False) -> Column:
-    """Trimmed key; null if blank or a word for "missing"."""
-    trimmed = F.trim(F.translate(col, "\t\r\n\x0b\x0c   　﻿", "          "))
-    out = F.when(~F.lower(trimmed).isin(*MISSING_KEYS), trimmed)
-    return F.lower(out) if lower else out
-
-
-def star_edges(keyed: DataFrame, key: str = "k", node: str = "id") -> DataFrame:
-    """Edges from the smallest node of each key to its other nodes; keys of one node give none."""
-    keyed = keyed.filter(F.col(key).isNotNull())
-    centre = cut(keyed.groupBy(key).agg(F.min(node).alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    total = keyed.count()
-    joined = attach_by_key(keyed.withColumnRenamed(node, "v"), centre, [key], "n", total)
-    return joined.select("u", "v").filter("u <> v")
-
-
 def _symmetric(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u <> v").select("u", "v")
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def _contract(e: DataFrame, rounds: int, enough: int) -> tuple[DataFrame, list[DataFrame], int]:
+def _contract(e: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame], int]:
     removed: list[DataFrame] = []
     left = e.count()
     for k in range(rounds):
-        if not left or k >= LEAST_ROUNDS and left <= 2 * enough:
+        if not left:
             break
         degree = e.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("a"), F.max("v").alias("b"))
         small = degree.filter("d <= 2").withColumn("p", F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("i")))
@@ -79,69 +53,25 @@ def _contract(e: DataFrame, rounds: int, enough: int) -> tuple[DataFrame, list[D
             .distinct()
         )
         before, left = left, e.count()
-        if left > 0.98 * before:
+        if left == before:  # nothing was removed
             break
     return e, removed, left
 
 
-def _find_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
+def _solve_core(e: DataFrame, left: int) -> DataFrame | None:
+    """(id, root) of the reduced core, by stars."""
+    return star_components(e) if left else None
 
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    if kind is not None:
-        ids = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([find(x) for x in ids], kind)], ["id", "root"])
 
-
-def _solve_core(e: DataFrame, left: int, enough: int, rounds: int = 60) -> DataFrame | None:
-    """(id, root) of the reduced core.
-
-    A core of at most ``enough`` edges (counted before) is solved in one task; a larger one by alternating stars on
-    (u, v) edges until the edges are stars around the smallest node.
-    """
-    if not left:
-        return None
-    e = e.filter("u > v").select("u", "v")
-    if left <= 2 * enough:
-        kind = e.schema["u"].dataType.simpleString()
-        return e.coalesce(1).mapInArrow(_find_in_one_task, f"id {kind}, root {kind}")
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            labels = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            return labels.unionByName(labels.select(F.col("root").alias("id"), "root").distinct())
-        before = now
-    raise RuntimeError("components did not settle")
-
-
-def components(edges: DataFrame, rounds: int = 40, enough: int = CORE_EDGES) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(component_id, id, n) of every node of an edge; ``component_id`` is the smallest node id of the component.
 
     ``edges``: columns u, v of one type; loops, repeats and nulls are allowed and tie nothing. Empty edges give an
     empty result.
     """
     e = cut(_symmetric(edges.filter("u is not null and v is not null")))
-    e, removed, left = _contract(e, rounds, enough)
-    labels = _solve_core(e, left, enough)
+    e, removed, left = _contract(e, rounds)
+    labels = _solve_core(e, left)
     for k, gone in enumerate(reversed(removed)):
         if labels is None:
             labels = gone.select(F.col("u").alias("id"), F.col("a").alias("root"))
@@ -176,7 +106,7 @@ def message_ties(messages: DataFrame, overlap: DataFrame | None = None, hashes:
         kinds.append(F.struct(F.lit("h").alias("kind"), clean_key(F.col("content_hash"), lower=True).alias("k")))
     keyed = m.select("id", F.explode(F.array(*kinds)).alias("x")).select("id", F.concat(F.col("x.kind"), F.col("x.k")).alias("k"))
     keyed = cut(keyed.filter("k is not null").select("id", F.unhex(F.md5("k")).alias("k")))
-    edges = star_edges(keyed)
+    edges = value_edges(keyed)
     refs = m.select("key", clean_key(F.col("parent_id")).alias("other")).filter("other is not null and key <> other")
     if overlap is not None:
         status = F.lower(clean_key(F.coalesce(F.col("review_status"), F.lit(""))))

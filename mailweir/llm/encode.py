@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -30,13 +30,13 @@ CACHE = 300_000
 
 
 class Tokenizer:
-    def __init__(self, path: str = DEFAULT_RANKS, pattern: str = PATTERN):
+    def __init__(self, source: str | bytes = DEFAULT_RANKS, pattern: str = PATTERN):
+        """``source``: the path of a file of ranks, or its content."""
         self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    self.ranks[base64.b64decode(token)] = int(rank)
+        for line in (source if isinstance(source, bytes) else _content(source)).splitlines():
+            if line.strip():
+                token, rank = line.split()
+                self.ranks[base64.b64decode(token)] = int(rank)
         self.find = regex.compile(pattern).findall
         self.done: dict[str, list[int]] = {}
 
@@ -112,28 +112,41 @@ class Tokenizer:
 
 
 @lru_cache(4)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
 
-def token_ids(path: str = DEFAULT_RANKS):
+@lru_cache(4)
+def _tokenizer(content: bytes) -> Tokenizer:
+    return Tokenizer(content)
+
+
+def _shipped(spark: SparkSession, path: str):
+    """The file of ranks (about a megabyte), read by the driver and sent along."""
+    return spark.sparkContext.broadcast(_content(path))
+
+
+def token_ids(spark: SparkSession, path: str = DEFAULT_RANKS):
     """Arrow function text -> array<int>."""
+    ranks = _shipped(spark, path)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t = tokenizer(path)
+        t = _tokenizer(ranks.value)
         for col in batches:
             yield pa.array([t.encode(v) for v in col.to_pylist()], pa.list_(pa.int32()))
 
     return run
 
 
-def token_count(path: str = DEFAULT_RANKS):
+def token_count(spark: SparkSession, path: str = DEFAULT_RANKS):
     """Arrow function text -> number of tokens, without carrying the ids."""
+    ranks = _shipped(spark, path)
 
     @F.arrow_udf(IntegerType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t = tokenizer(path)
+        t = _tokenizer(ranks.value)
         for col in batches:
             yield pa.array([len(t.encode(v)) for v in col.to_pylist()], pa.int32())
 
@@ -142,4 +155,4 @@ def token_count(path: str = DEFAULT_RANKS):
 
 def encode_corpus(documents: DataFrame, path: str = DEFAULT_RANKS) -> DataFrame:
     """(doc_id, ids), one row a document; no shuffle, unless the input has fewer splits than there are cores."""
-    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(path)(F.col("text")).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(documents.sparkSession, path)(F.col("text")).alias("ids"))

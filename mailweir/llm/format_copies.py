@@ -29,7 +29,7 @@ def format_key(subject: pa.Array, body: pa.Array) -> pa.Array:
         low, high = digest128(f"{x}\0{y}")
         lo.append(low)
         hi.append(high)
-        letters.append(len(x) + len(y) if len(x) + len(y) < 20 else letter_count(s) + letter_count(b))
+        letters.append(letter_count(s) + letter_count(b))
     cols = [pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(letters, pa.int32())]
     return pa.StructArray.from_arrays(cols, ["lo", "hi", "letters"])
 

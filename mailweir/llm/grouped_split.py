@@ -14,25 +14,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailweir.llm.components import message_components
+from mailweir.operators.standardize import LABELS, label_class
 from mailweir.session import cut
 
 BIG = 2000
 EXACT = 6
 BUCKETS = 256
-# The label classes of the corpus; every other value is one class of its own.
-LABELS = ("normal", "spam", "phishing")
-
-
-def label_class(label: Column) -> Column:
-    known = F.lower(F.trim(label))
-    return F.when(known.isin(*LABELS), known).otherwise("other")
-
-
 @dataclass
 class Item:
     key: str

@@ -3,7 +3,8 @@
 Error-correcting output codes. The five languages have codewords over all 15 ways to part them in two; each bit has a
 binary classifier on hashed character n-grams and words, whose weight for a feature is the log-odds of the feature
 between the two sides. A text's margins are the sums over its words (a word's weights are kept, so a text costs one
-lookup a word). Loss-weighted decoding takes the codeword of least logistic loss; its distance to the runner-up gives
+lookup a word). Loss-weighted decoding takes the codeword of least logistic loss, where each bit's loss is weighed by
+that classifier's accuracy on the language; its distance to the runner-up gives
 the confidence and flags ambiguity.
 
 The classifiers are fitted on a bounded sample of labelled rows (``SAMPLE`` rows a language, chosen by a hash of the
@@ -94,9 +95,10 @@ def _features(word: str) -> list[int]:
 @dataclass
 class Model:
     weights: np.ndarray  # features x bits
+    trust: np.ndarray | None = None  # languages x bits: how often a bit is right on a language
 
     def word(self, w: str) -> np.ndarray:
-        f = _features(w[:40])
+        f = _features(w)
         return self.weights[f].mean(axis=0) * (1.0 + min(len(w), 8) / 2.0)
 
 
@@ -131,7 +133,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             for w, n in words.items():
                 f = cache.get(w)
                 if f is None:
-                    f = cache[w] = _features(w[:40])
+                    f = cache[w] = _features(w)
                 np.add.at(c[k], f, n ** 0.75)
         return c
 
@@ -146,13 +148,24 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     first = weigh(counts(bags))
     scorer = Scorer(first)
     kept = [(k, bag) for k, bag in bags if k == int(np.argmin(loss(sum(scorer.vector(w) * n for w, n in bag.items()))))]
-    return weigh(counts(kept or bags))
-
-
-def loss(margins: np.ndarray) -> np.ndarray:
-    """Logistic loss of each codeword for margins (..., bits)."""
+    second = weigh(counts(kept or bags))
+    # the share of rows of each language on which each bit is right weighs its loss
+    scorer = Scorer(second)
+    right, rows_of = np.ones(CODES.shape), np.full(len(LANGUAGES), 1.0)
+    for k, bag in kept or bags:
+        right[k] += sum(scorer.vector(w) * n for w, n in bag.items()) * CODES[k] > 0
+        rows_of[k] += 1
+    second.trust = (right / rows_of[:, None]).astype(np.float32)
+    return second
+
+
+def loss(margins: np.ndarray, trust: np.ndarray | None = None) -> np.ndarray:
+    """Logistic loss of each codeword for margins (..., bits), each bit weighed by its accuracy on that language."""
     x = -(margins[..., None, :] * TEMPER) * CODES
-    return np.logaddexp(0.0, x).sum(axis=-1) / (2 ** (len(LANGUAGES) - 2))
+    each = np.logaddexp(0.0, x)
+    if trust is not None:
+        each = each * (trust * (trust.shape[1] / trust.sum(axis=1, keepdims=True)))
+    return each.sum(axis=-1) / (2 ** (len(LANGUAGES) - 2))
 
 
 class Scorer:
@@ -185,7 +198,7 @@ class Scorer:
         if full:
             flat = np.fromiter((w for k in full for w in word_lists[k]), np.int64)
             starts = np.cumsum([0, *(len(word_lists[k]) for k in full[:-1])])
-            out[full] = loss(np.add.reduceat(self.rows[flat], starts, axis=0))
+            out[full] = loss(np.add.reduceat(self.rows[flat], starts, axis=0), self.model.trust)
         return out
 
 
@@ -290,24 +303,22 @@ _SCHEMA = "id string, label string, letters int, segment int, n_segments int, la
 def detect(messages: DataFrame, model: Model | None = None) -> DataFrame:
     """(id, label, letters, segment, n_segments, lang, confidence, ambiguous): one row a segment of each message.
 
-    ``label`` is the language that the stored label names; ``letters`` is exact for short texts, else the length. A text in one language has one segment, 0. A text without
+    ``label`` is the language that the stored label names; A text in one language has one segment, 0. A text without
     evidence has one row with a null language and confidence 0. No shuffle.
     """
     if model is None:
         model = fit(training_sample(messages))
-    shared = messages.sparkSession.sparkContext.broadcast(model.weights.astype(np.float16))  # fixed size: 2 MB
+    shared = messages.sparkSession.sparkContext.broadcast((model.weights.astype(np.float16), model.trust))  # fixed size: 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(shared.value.astype(np.float32)))
+        scorer = Scorer(Model(shared.value[0].astype(np.float32), shared.value[1]))
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 ids, labels, subjects, bodies = (c.to_pylist() for c in whole.slice(lo, 1000).columns)
                 found = segments(scorer, list(zip(subjects, bodies)))
                 cols: list[list] = [[] for _ in range(8)]
                 for i, label, s, b, segs in zip(ids, labels, subjects, bodies, found):
-                    letters = len(s or "") + len(b or "")
-                    if letters < 400:
-                        letters = sum(map(len, _WORD.findall(canonical(f"{s or ''} {b or ''}"))))
+                    letters = sum(map(len, _WORD.findall(canonical(f"{s or ''} {b or ''}"))))
                     for k, (lang, c, unsure) in enumerate(segs or [(None, 0.0, True)]):
                         for col, v in zip(cols, (i, label, letters, k, len(segs) or 1, lang, c, unsure)):
                             col.append(v)

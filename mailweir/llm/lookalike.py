@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from mailweir.llm.canonical import digest128, letter_count, settle, unstable_pattern
+from mailweir.llm.canonical import FOREIGN, digest128, letter_count, settle, unstable_pattern
 from mailweir.operators.skew import block_pairs
 from mailweir.session import cut, spread
 
@@ -33,6 +33,11 @@ def unstable_segments(text: str) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for m in _unstable_run().finditer(text):
         a, b = m.span()
+        if any(c in FOREIGN for c in m.group()):  # whether these letters change is a matter of the whole word
+            while a > 0 and (text[a - 1].isalpha() or unicodedata.combining(text[a - 1])):
+                a -= 1
+            while b < len(text) and (text[b].isalpha() or unicodedata.combining(text[b])):
+                b += 1
         if a > 0:
             a -= 1  # the starter (or Hangul lead) that the run may compose with
             while a > 0 and unicodedata.combining(text[a]):
@@ -80,7 +85,7 @@ def form_key(subject: pa.Array, body: pa.Array) -> pa.Array:
         lo.append(low)
         hi.append(high)
         raw.append(low if (x, y) == (s, b) else digest128(f"{s}\0{b}")[1])
-        letters.append(len(x) + len(y) if len(x) + len(y) < 20 else letter_count(x) + letter_count(y))
+        letters.append(letter_count(x) + letter_count(y))
     cols = [pa.array(v, pa.int64()) for v in (lo, hi, raw)] + [pa.array(letters, pa.int32())]
     return pa.StructArray.from_arrays(cols, ["lo", "hi", "raw", "letters"])
 

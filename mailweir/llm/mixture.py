@@ -23,7 +23,7 @@ SPACE = 1 << (BUCKET_BITS * LEVELS)
 
 def _sized(documents: DataFrame, path: str) -> DataFrame:
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 64 - BUCKET_BITS * LEVELS)
-    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count(path)(F.col("text")).cast("bigint").alias("n_tokens"), h.alias("h"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count(documents.sparkSession, path)(F.col("text")).cast("bigint").alias("n_tokens"), h.alias("h"))
 
 
 def _plan(sized: DataFrame, weights: DataFrame, total: int | None) -> list[dict]:

@@ -5,7 +5,7 @@ not do: changes spread evenly leave a Jaccard similarity near 0.27. The shingle
 occurrence number; a pair at the limit then has a similarity of at least 9/11. With 26 bands of 6 rows a pair at that
 limit is missed with a probability below 1e-4, any closer pair with less. Copies of one word sequence are hashed once.
 Buckets are joined evaluation side to training side only; candidates whose lengths or 112 one-bit sketches rule them
-out are dropped in the join, the rest is verified by exact Jaccard similarity and by the exact word edit distance.
+out are dropped in the join, the rest is verified by Jaccard similarity and word edit distance over word hashes, and what remains by the words themselves.
 """
 
 from __future__ import annotations
@@ -166,6 +166,27 @@ def _near(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+@F.arrow_udf(BooleanType())
+def _truly_near(s1: pa.Array, b1: pa.Array, s2: pa.Array, b2: pa.Array) -> pa.Array:
+    out = []
+    for a, b, c, d in zip(*(x.to_pylist() for x in (s1, b1, s2, b2))):
+        number: dict[str, int] = {}
+        u, v = ([number.setdefault(w, len(number)) for w in words(x) + words(y)] for x, y in ((a, b), (c, d)))
+        longer = max(len(u), len(v))
+        out.append(TENTH * word_distance(u, v) <= longer)
+    return pa.array(out, pa.bool_())
+
+
+def _exactly(pairs: DataFrame, rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Pairs that are near by their words themselves, since two words may share a hash. One message stands for each text."""
+    wanted = pairs.select(F.col("wt").alias("wlo")).unionByName(pairs.select(F.col("we").alias("wlo"))).distinct()
+    one = rows.select("wlo", "id").join(wanted, "wlo").groupBy("wlo").agg(F.min("id").alias("id"))
+    texts = messages.select("id", "subject", "body").join(one, "id").dropDuplicates(["wlo"])
+    a = texts.select(F.col("wlo").alias("wt"), F.col("subject").alias("s1"), F.col("body").alias("b1"))
+    b = texts.select(F.col("wlo").alias("we"), F.col("subject").alias("s2"), F.col("body").alias("b2"))
+    return pairs.join(a, "wt").join(b, "we").filter(_truly_near("s1", "b1", "s2", "b2")).select("wt", "we")
+
+
 def _side(split: Column) -> Column:
     s = F.lower(F.trim(split))
     return F.when(s == "train", 0).when(s.isin("validation", "test"), 1)
@@ -213,6 +234,7 @@ def overlap_pairs(messages: DataFrame) -> DataFrame:
     # one word sequence with different field borders or word borders
     same = rows.groupBy("wlo").agg(F.min("clo").alias("lo"), F.max("clo").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     same = same.filter("lo <> hi and s0 < s1").select(F.col("wlo").alias("wt"), F.col("wlo").alias("we"))
+    checked = _exactly(cut(checked), rows, messages)
     found = cut(checked.unionByName(same))
     train = light.filter("side = 0").select(F.col("wlo").alias("wt"), F.col("id").alias("train_id"), F.col("clo").alias("ct"))
     evalu = light.filter("side = 1").select(F.col("wlo").alias("we"), F.col("id").alias("eval_id"), F.col("clo").alias("ce"))

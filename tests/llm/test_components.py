@@ -43,16 +43,15 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("enough", [0, 250_000])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_components(spark, name, enough):
-    assert run(spark, GRAPHS[name], enough=enough) == brute(GRAPHS[name])
+def test_components(spark, name):
+    assert run(spark, GRAPHS[name]) == brute(GRAPHS[name])
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 15).map(str), st.integers(0, 15).map(str)), max_size=25))
 def test_random_graphs(spark, edges):
-    assert run(spark, edges, enough=5) == brute(edges)
+    assert run(spark, edges) == brute(edges)
 
 
 MESSAGES = "id string, group_id string, content_hash string, parent_id string, u string, k string"
