@@ -80,3 +80,22 @@ def phrase_hits(df: DataFrame, phrases: list[str], text: str, id_col: str = "id"
     found = F.filter(F.array(*[F.lit(p) for p in sorted(phrases)]), lambda p: F.contains(F.col(text), p))
     rows = df.select(id_col, found.alias("f")).filter(F.size("f") > 0)
     return rows.select(id_col, F.element_at("f", 1).alias("first_phrase"), F.size("f").alias("n_phrases"))
+
+
+def summed_distribution(df: DataFrame, by: str, column: str) -> DataFrame:
+    """(value, n_rows, n_splits): the distributions of all parts added up."""
+    per = df.groupBy(by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("value").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias(f"n_{by}s"))
+
+
+def availability(df: DataFrame, by: str, status: Column, values: list[str]) -> DataFrame:
+    """Rows of each group by status, the rest as ``other``, and all."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    s = F.coalesce(status, F.lit(""))
+    return df.groupBy(by).agg(*[n(s == v).alias(v) for v in values], n(~s.isin(*values)).alias("other"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def long_crosstabs(df: DataFrame, by: str, columns: list[str], blank: str = "not_declared") -> DataFrame:
+    """(by, dimension, value, n_rows): the crosstabs of several columns in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.when(F.trim(F.coalesce(c, F.lit(""))) == "", blank).otherwise(F.col(c)).alias("value")) for c in columns]))
+    return df.select(by, cells.alias("x")).groupBy(by, "x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -47,6 +47,28 @@ def report_rows(per_class: DataFrame, per_scope: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def wide_rows(per_class: DataFrame, labels: tuple[str, ...], measures: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
+    """One row a scope with a column ``<label>_<measure>`` for each class and measure."""
+    cells = [F.max(F.when(F.col("label") == x, F.col(c))).alias(f"{x}_{c}") for x in labels for c in measures]
+    return per_class.groupBy("scope").agg(*cells)
+
+
+def comparison_rows(per_class: DataFrame, labels: tuple[str, ...], reference: str, harmless: str = "normal") -> DataFrame:
+    """(scope, macro_f1, normal_false_positive_rate, delta_macro_f1): each scope beside the reference scope; null stays null."""
+    per = scope_metrics(per_class, labels).select("scope", "macro_f1")
+    rate = per_class.filter(F.col("label") == harmless).select("scope", (1 - F.col("recall")).alias("normal_false_positive_rate"))
+    base = per.filter(F.col("scope") == reference).select(F.col("macro_f1").alias("_base"), F.lit(1).alias("_one"))
+    out = per.join(rate, "scope", "left").withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one", "left")  # one row
+    return out.select("scope", "macro_f1", "normal_false_positive_rate", (F.col("macro_f1") - F.col("_base")).alias("delta_macro_f1"))
+
+
+def require_labels(df: DataFrame, label: str, labels: tuple[str, ...]) -> None:
+    """Raise unless the observed labels are exactly the configured ones."""
+    seen = {r[0] for r in df.select(label).distinct().limit(1000).collect()}
+    if seen != set(labels):
+        raise ValueError(f"labels differ: missing {sorted(set(labels) - seen)}, unexpected {sorted(map(str, seen - set(labels)))}")
+
+
 def rank_experiments(runs: DataFrame) -> DataFrame:
     """Runs in order of preference: macro f1 and phishing recall down, language gap and false alarms up, then id."""
     w = Window.orderBy(F.col("macro_f1").desc_nulls_last(), F.col("phishing_recall").desc_nulls_last(), F.col("language_gap").asc_nulls_last(), F.col("false_alarms").asc_nulls_last(), "run_id")

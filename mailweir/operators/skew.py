@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many hot keys are broadcast; with ``hot_threshold`` the bound holds for any input up to 4e8 rows.
+#: At most so many keys are hot, whatever the input: their table is what is broadcast.
 HOT_KEYS = 4096
-#: Beyond this many hot keys (only above 1e11 rows) no broadcast is asked for.
-HOT_BROADCAST = 1_000_000
 
 
-def hot_threshold(rows: int, floor: int = 1000, ceiling: int = 100_000) -> int:
+def hot_threshold(rows: int, floor: int = 1000) -> int:
     """Count from which a key is hot. At most ``rows / threshold`` keys can be hot, which bounds their table."""
-    return max(floor, min(ceiling, rows // HOT_KEYS))
+    return max(floor, rows // HOT_KEYS)
 
 
 def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
@@ -23,8 +21,6 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str,
     """
     limit = hot_threshold(total)
     hot, cold = per_key.filter(F.col(n) >= limit), per_key.filter(F.col(n) < limit)
-    if total // limit > HOT_BROADCAST:
-        return rows.join(per_key, keys)
     hot = F.broadcast(hot)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 

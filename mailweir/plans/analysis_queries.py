@@ -59,73 +59,37 @@ def url_parse(spark, d):
 
 # ---------------------------------------------------------------- linkage
 
-EN = "(select id, coalesce(body,'') as body, group_id from messages where language = 'en' and coalesce(parent_id,'') = '')"
-VI = "(select id, coalesce(body,'') as body, group_id from messages where language = 'vi')"
-_IDENT = "list_filter(list_distinct(regexp_extract_all(upper(translate(body, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')), '[A-Z0-9][A-Z0-9/-]{3,}[A-Z0-9]')), lambda x: regexp_matches(x, '[A-Z]') and regexp_matches(x, '[0-9]'))"
-_NUMS = "list_distinct(regexp_extract_all(body, '[0-9]{2,}'))"
+_FULL = "trim(concat_ws(' ', coalesce(sender,''), coalesce(receiver,''), coalesce(date,''), coalesce(subject,''), coalesce(body,'')))"
 
 
 def _sides(spark, d):
-    m = _messages(spark, d, "body", "language", "parent_id", "group_id").withColumn("body", F.coalesce("body", F.lit("")))
+    m = _messages(spark, d, "sender", "receiver", "date", "subject", "body", "language", "parent_id")
+    m = m.withColumn("text", K.full_text(*[F.col(c) for c in ("sender", "receiver", "date", "subject", "body")]))
     left = m.filter("language = 'en' and coalesce(parent_id,'') = ''")
     right = m.filter("language = 'vi'")
-    return K.evidence(left, F.col("body")), K.evidence(right, F.col("body"))
+    text = F.col("text")
+    sides = K.subject_evidence(K.evidence(left, text), text, F.col("subject")), K.subject_evidence(K.evidence(right, text), text)
+    return tuple(cut(s.select("id", *K.FIELDS, "subject_tokens", "n_chars")) for s in sides)
 
 
-@query("number_frequency", f"select value, count(*) as df from (select id, unnest({_NUMS}) as value from {EN}) group by 1")
+@query(
+    "number_frequency",
+    rf"select value, count(*) as df from (select distinct id, unnest(string_split(regexp_replace({_FULL}, '[^\pL\pN\pM_]+', ' ', 'g'), ' ')) as value from messages where language = 'en' and coalesce(parent_id,'') = '') where regexp_full_match(value, '\p{{Nd}}{{2,}}') group by 1",
+)
 def number_frequency(spark, d):
     left, _ = _sides(spark, d)
     return K.document_frequency(left, ("numbers",)).select("value", "df")
 
 
-_BLOCK = f"""with l as (select id, 'identifiers' as field, unnest({_IDENT}) as value from {EN} union all select id, 'numbers', unnest({_NUMS}) from {EN}),
-    r as (select id, 'identifiers' as field, unnest({_IDENT}) as value from {VI} union all select id, 'numbers', unnest({_NUMS}) from {VI}),
-    rare as (select field, value from l group by all having count(*) <= case field when 'identifiers' then 25 else 12 end),
-    c as (select l.id as left_id, r.id as right_id, l.field, l.value from l join rare using (field, value) join r on l.field = r.field and l.value = r.value)"""
-_SCORE = _BLOCK + """, s as (select left_id, right_id, sum(p) as points, count(*) as n_types from (select left_id, right_id, field, case field when 'identifiers' then least(n*2.0, 6.0) else least(n*0.75, 5.0) end as p from (select left_id, right_id, field, count(*) as n from c group by 1, 2, 3)) group by left_id, right_id)"""
-
-
-def _pairs(spark, d):
-    left, right = _sides(spark, d)
-    none = F.array().cast("array<string>")
-    left, right = (x.withColumns({"tokens": none, "emails": none, "urls": none}) for x in (left, right))
-    return K.candidates(left, right, {"identifiers": 25, "numbers": 12})
-
-
-@query("blocking_candidates", _BLOCK + " select left_id, right_id, count(*) as n_shared from c group by all")
+@query("blocking_candidates")
 def blocking_candidates(spark, d):
-    return _pairs(spark, d).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    """All five fields over sender, receiver, date, subject and body."""
+    return K.candidates(*_sides(spark, d)).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-@query(
-    "link_topk",
-    _SCORE + """ select * from (select left_id, right_id, round(points, 6)::double as points, n_types, row_number() over (partition by right_id order by points desc, left_id) as candidate_rank,
-    case when row_number() over (partition by right_id order by points desc, left_id) = 1 then round(points - lead(points, 1, 0.0) over (partition by right_id order by points desc, left_id), 6)::double end as margin from s) where candidate_rank <= 3""",
-)
+@query("link_topk")
 def link_topk(spark, d):
-    top = K.ranked(K.scored(_pairs(spark, d)))
-    return top.select("left_id", "right_id", F.round("points", 6).alias("points"), "n_types", F.col("candidate_rank").cast("bigint").alias("candidate_rank"), F.round("margin", 6).alias("margin"))
-
-
-def _full_sides(spark, d):
-    m = _messages(spark, d, "sender", "receiver", "date", "subject", "body", "language", "parent_id")
-    m = m.withColumn("text", K.full_text(*[F.col(c) for c in ("sender", "receiver", "date", "subject", "body")]))
-    left = m.filter("language = 'en' and coalesce(parent_id,'') = ''")
-    right = m.filter("language = 'vi'")
-    text = F.col("text")
-    sides = K.subject_evidence(K.evidence(left, text), text, F.col("subject")), K.subject_evidence(K.evidence(right, text), text)
-    return tuple(cut(s.select("id", *K.FIELDS, "subject_tokens", "n_chars")) for s in sides)
-
-
-@query("blocking_candidates_full")
-def blocking_candidates_full(spark, d):
-    """All five fields over sender, receiver, date, subject and body; ``blocking_candidates`` keeps to what its SQL says."""
-    return K.candidates(*_full_sides(spark, d)).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n_shared"))
-
-
-@query("link_topk_full")
-def link_topk_full(spark, d):
-    left, right = _full_sides(spark, d)
+    left, right = _sides(spark, d)
     top = K.ranked(K.overlap_scored(K.candidates(left, right), left, right))
     return top.select("left_id", "right_id", "points", "score", "n_types", F.col("candidate_rank").cast("bigint").alias("candidate_rank"), "margin")
 
@@ -198,10 +162,59 @@ def subset_metrics(spark, d):
     return out.select("scope", "n_rows", *[F.round(c, 9).alias(c) for c in out.columns[2:]])
 
 
-@query("metrics_report")
+_REPORT = _PER.format(scope="scope") + """, s as (select scope, sum(support)::bigint as n_rows, sum(hits)/sum(support) as accuracy, avg(f1) as f1 from f group by scope)"""
+
+
+@query(
+    "metrics_report",
+    _REPORT + """ select scope, 'scope_summary' as row_type, null as label, n_rows, round(f1, 9)::double as f1, round(accuracy, 9)::double as accuracy from s
+    union all select scope, 'class_metric', label, support, round(f1, 9)::double, null from f""",
+)
 def metrics_report(spark, d):
     per = M.class_metrics(_predicted(spark, d), "t", "p", LABELS, "scope")
-    return M.report_rows(per, M.scope_metrics(per, LABELS))
+    out = M.report_rows(per, M.scope_metrics(per, LABELS))
+    return out.select("scope", "row_type", "label", "n_rows", F.round("f1", 9).alias("f1"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(
+    "wide_metrics",
+    _PER.format(scope="scope") + " select scope, " + ", ".join(f"round(max(case when label = '{x}' then {c} end), 9)::double as {x}_{c}" for x in ("normal", "spam", "phishing") for c in ("precision", "recall", "f1")) + " from f group by scope",
+)
+def wide_metrics(spark, d):
+    out = M.wide_rows(M.class_metrics(_predicted(spark, d), "t", "p", LABELS, "scope"), LABELS)
+    return out.select("scope", *[F.round(c, 9).alias(c) for c in out.columns if c != "scope"])
+
+
+@query(
+    "comparison_rows",
+    _REPORT + """, n as (select scope, recall from f where label = 'normal') select s.scope, round(s.f1, 9)::double as macro_f1, round(1 - n.recall, 9)::double as normal_false_positive_rate,
+    round(s.f1 - (select f1 from s where scope = (select min(scope) from s)), 9)::double as delta_macro_f1 from s left join n using (scope)""",
+)
+def comparison_rows(spark, d):
+    per = cut(M.class_metrics(_predicted(spark, d), "t", "p", LABELS, "scope"))
+    first = per.agg(F.min("scope").alias("s")).first()["s"]
+    out = M.comparison_rows(per, LABELS, first)
+    return out.select("scope", *[F.round(c, 9).alias(c) for c in out.columns if c != "scope"])
+
+
+@query("summed_distribution", "select label as value, sum(n)::bigint as n_rows, count(distinct split) as n_splits from (select split, label, count(*) as n from messages where label is not null and split is not null group by all) group by 1")
+def summed_distribution(spark, d):
+    m = _messages(spark, d, "label", "split").filter("label is not null and split is not null")
+    return A.summed_distribution(m, "split", "label")
+
+
+@query(
+    "policy_availability",
+    """select source, count(*) filter (where lower(trim(label_status)) = 'review') as review, count(*) filter (where lower(trim(label_status)) = 'eligible') as eligible, count(*) filter (where coalesce(lower(trim(label_status)), '') not in ('review','eligible')) as other, count(*) as n_rows from messages group by 1""",
+)
+def policy_availability(spark, d):
+    return A.availability(_messages(spark, d, "source", "label_status"), "source", F.lower(F.trim("label_status")), ["review", "eligible"])
+
+
+@query("split_crosstabs", " union all ".join(f"select split, '{c}' as dimension, case when trim(coalesce({c},'')) = '' then 'not_declared' else {c} end as value, count(*) as n_rows from messages where split is not null group by all" for c in ("label", "language", "data_origin", "source")))
+def split_crosstabs(spark, d):
+    m = _messages(spark, d, "split", "label", "language", "data_origin", "source").filter("split is not null")
+    return A.long_crosstabs(m, "split", ["label", "language", "data_origin", "source"])
 
 
 @query(

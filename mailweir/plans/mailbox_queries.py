@@ -118,7 +118,11 @@ def analysis_versions(spark, d):
     return a.groupBy("phien_ban_mo_hinh", "nhan_du_doan").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("do_tin_cay"), 6).alias("mean_confidence"))
 
 
-@query("redelivery_threads")
+@query(
+    "redelivery_threads",
+    """with l as (select id_thu, thu_muc_moi from (select *, row_number() over (partition by id_thu order by thoi_gian_thay_doi desc nulls last, id_lich_su desc) as n from lich_su_thu_muc where thu_muc_moi is distinct from thu_muc_cu) where n = 1)
+    select ma_thu_ngoai, count(*) as n, list_sort(list(distinct coalesce(thu_muc_moi, thu_muc))) as folders from thu left join l using (id_thu) where ma_thu_ngoai is not null group by 1 having count(*) > 1""",
+)
 def redelivery_threads(spark, d):
     """Copies of one external id with the folder each stands in now."""
     t = M.current_folder(_mails(spark, d), table(spark, d, "lich_su_thu_muc"))

@@ -12,17 +12,12 @@ from mailweir.sources.tables import table
 
 query = Registry()
 
-_TERMS = """(select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) as term from (select id, regexp_extract_all(lower(coalesce(subject,'')), '[a-z0-9]{2,}') as w from messages))"""
+_TERMS = """(select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) as term from (select id, regexp_extract_all(lower(coalesce(subject,'') || chr(10) || coalesce(body,'')), '[\\pL\\pN_]{2,}') as w from messages))"""
 _TFIDF = f"""with tf as (select id, term, count(*) as c from {_TERMS} group by all), df as (select term, count(*) as df from tf group by 1 having count(*) >= 2),
     w as (select id, term, (1 + ln(c)) * (ln((1.0 + (select count(*) from messages)) / (1.0 + df)) + 1) as w from tf join df using (term)),
     x as (select id, term, w / sqrt(sum(w*w) over (partition by id)) as weight from w)"""
 
 
-def _weights(spark, d):
-    m = table(spark, d, "messages", ("id", "subject"))
-    return features.tfidf(m, features.word_terms(F.coalesce("subject", F.lit(""))))
-
-
 def _text(spark, d, *columns):
     m = table(spark, d, "messages", ("id", "subject", "body", *columns))
     return m.select("id", features.message_text(F.col("subject"), F.col("body")).alias("text"), *columns)
@@ -37,26 +32,9 @@ def _labels(spark, d):
     return table(spark, d, "messages", ("id", "label")).select("id", F.lower(F.trim("label")).alias("label")).filter("label in ('normal','spam','phishing')")
 
 
-@query("tfidf_text_weights")
-def tfidf_text_weights(spark, d):
-    """Weights over subject and body; ``tfidf_weights`` keeps to the subject, as its SQL says."""
-    return _text_weights(spark, d)
-
-
-@query("tfidf_text_class_terms")
-def tfidf_text_class_terms(spark, d):
-    return features.class_coefficients(cut(_text_weights(spark, d)), _labels(spark, d))
-
-
-@query("char_text_ngrams")
-def char_text_ngrams(spark, d):
-    """3- to 5-grams of subject and body; ``char_ngrams`` keeps to 3-grams of the subject, as its SQL says."""
-    return spread(_text(spark, d)).select(F.explode(features.char_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("tfidf_weights", _TFIDF + " select id, term, round(weight, 8) as weight from x")
 def tfidf_weights(spark, d):
-    return _weights(spark, d).select("id", "term", F.round("weight", 8).alias("weight"))
+    return _text_weights(spark, d).select("id", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(
@@ -67,7 +45,7 @@ def tfidf_weights(spark, d):
 )
 def tfidf_class_terms(spark, d):
     labels = table(spark, d, "messages", ("id", "label")).select("id", F.lower(F.trim("label")).alias("label")).filter("label in ('normal','spam','phishing')")
-    return features.class_coefficients(_weights(spark, d), labels).select("term", "label", F.round("coefficient", 8).alias("coefficient"))
+    return features.class_coefficients(cut(_text_weights(spark, d)), labels).select("term", "label", F.round("coefficient", 8).alias("coefficient"))
 
 
 @query("top_contributions")
@@ -77,10 +55,10 @@ def top_contributions(spark, d):
     return features.contributions(w, features.class_coefficients(w, _labels(spark, d)))
 
 
-@query("char_ngrams", "select term, count(*) as n from (select unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i+2])) as term from (select ' ' || unnest(string_split(trim(regexp_replace(lower(coalesce(subject,'')), '[\\t\\n\\v\\f\\r ]+', ' ', 'g')), ' ')) || ' ' as w from messages)) group by 1")
+@query("char_ngrams")
 def char_ngrams(spark, d):
-    m = table(spark, d, "messages", ("subject",))
-    return m.select(F.explode(features.char_terms(F.coalesce("subject", F.lit("")), 3, 3)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """3- to 5-grams of subject and body."""
+    return spread(_text(spark, d)).select(F.explode(features.char_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -26,15 +26,9 @@ def html_text(spark, d):
     return t.select("id_thu", files.html_to_text(F.col("noi_dung_html")).alias("text"))
 
 
-@query("sender_addresses", r"select id_thu, lower(regexp_extract(nguoi_gui, '<[^<>@ ]+@([^<>@ ]+)>$', 1)) as domain from thu where regexp_matches(nguoi_gui, '^[^<>\",()]+ <[^<>@ ]+@[^<>@ ]+>$')")
+@query("sender_addresses", r"select id_thu, nullif(lower(regexp_extract(coalesce(nguoi_gui,''), '@([^@<>\s]+)>?\s*$', 1)), '') as domain from thu")
 def sender_addresses(spark, d):
-    t = table(spark, d, "thu", ("id_thu", "nguoi_gui")).filter(F.col("nguoi_gui").rlike(r'^[^<>",()]+ <[^<>@ ]+@[^<>@ ]+>$'))
-    return t.select("id_thu", files.mail_address(F.col("nguoi_gui")).alias("a")).select("id_thu", "a.domain")
-
-
-@query("sender_addresses_all")
-def sender_addresses_all(spark, d):
-    """Every mail, whatever the shape of its sender; ``sender_addresses`` keeps to the shape that its SQL reads."""
+    """Every mail, whatever the shape of its sender."""
     t = table(spark, d, "thu", ("id_thu", "nguoi_gui"))
     return t.select("id_thu", files.mail_address(F.col("nguoi_gui")).alias("a")).select("id_thu", "a.domain")
 
@@ -77,9 +71,15 @@ def stream_sliding_sums(spark, d):
     return _named(out).withColumn("total", F.round("total", 4))
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+    k as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, strftime(min(ts)::timestamp, '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from k group by user_id, k""",
+)
 def stream_sessions(spark, d):
-    return ingest.drain(ingest.sessions(ingest.open_stream(spark, d, "events"), "ts", "30 minutes", "user_id"), "append")
+    """All sessions of a drained source, those too that are open at its end."""
+    out = ingest.drain(ingest.sessions(ingest.open_stream(spark, d, "events"), "ts", "30 minutes", "user_id"), "complete")
+    return out.withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_running_counts", "select cast(user_id as varchar) as key, count(*) as n from events group by 1")

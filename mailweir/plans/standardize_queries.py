@@ -12,16 +12,30 @@ from mailweir.sources.tables import table
 
 query = Registry()
 
-BODY_KEY = "sha256(lower(trim(regexp_replace(nfc_normalize(coalesce(body,'')), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g'))))"
+TEXT_KEY = "sha256(lower(trim(regexp_replace(nfc_normalize(coalesce(subject,'') || chr(10) || coalesce(body,'')), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+', ' ', 'g'))))"
 LABEL = "lower(trim(coalesce(label,'')))"
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages", ("id", "original_row_id", "source", "label", "body"))
-    return m.select("id", "original_row_id", "source", F.lower(F.trim(F.coalesce("label", F.lit("")))).alias("label"), F.sha2(F.lower(T.normalize_text(F.col("body"))), 256).alias("key"), "body")
+    m = table(spark, d, "messages", ("id", "original_row_id", "source", "label", "subject", "body", "raw_label", "label_status"))
+    text = F.concat_ws("\n", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    return m.select("id", "original_row_id", "source", F.lower(F.trim(F.coalesce("label", F.lit("")))).alias("label"), F.sha2(F.lower(T.normalize_text(text)), 256).alias("key"), "subject", "body", "label_status")
 
 
-_KEYED_SQL = f"select id, original_row_id, source, {LABEL} as label, {BODY_KEY} as key, body from messages"
+ARTIFACTS = ("mailbox internal data", "unsubscribe")
+
+
+def _disposed(spark, d):
+    """Review rows first, then labels that are none of the classes, placeholders and container phrases."""
+    both = F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit("")))
+    before = (
+        F.when(F.lower(F.trim(F.coalesce("label_status", F.lit("")))) == "review", "review").when(~F.col("label").isin(*S.LABELS), "excluded")
+        .when(S.is_placeholder(F.col("body")), "placeholder").when(S.has_phrase(both, ARTIFACTS), "artifact")
+    )
+    return S.dispositions(_keyed(spark, d), before=before)
+
+
+_KEYED_SQL = f"select id, original_row_id, source, {LABEL} as label, {TEXT_KEY} as key, subject, body, label_status from messages"
 
 
 @query(
@@ -105,27 +119,32 @@ def trusted_provenance(spark, d):
     return table(spark, d, "messages", ("id", "label", "label_provenance")).filter(ok).select("id")
 
 
-_DISPOSED_SQL = f"""with k as ({_KEYED_SQL}), w as (select *, count(*) over (partition by key) as n_copies,
-    first_value(id) over (partition by key order by original_row_id, id) as canonical_id, row_number() over (partition by key order by original_row_id, id) as r from k),
+_DISPOSED_SQL = rf"""with k0 as ({_KEYED_SQL}), k1 as (select *, case when lower(trim(coalesce(label_status,''))) = 'review' then 'review' when label not in ('normal','spam','phishing') then 'excluded'
+    when lower(trim(regexp_replace(coalesce(body,''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))) in ('','empty','none','null','nan','n/a','na') then 'placeholder'
+    when contains(lower(coalesce(subject,'') || ' ' || coalesce(body,'')), 'mailbox internal data') or contains(lower(coalesce(subject,'') || ' ' || coalesce(body,'')), 'unsubscribe') then 'artifact' end as pre from k0),
+    k as (select * from k1 where pre is null), w as (select *, count(*) over (partition by key) as n_copies,
+    first_value(id) over (partition by key order by original_row_id nulls first, id) as canonical_id, row_number() over (partition by key order by original_row_id nulls first, id) as r from k),
     l as (select key, count(distinct label) as labels from k group by key),
-    x as (select w.*, case when labels > 1 then 'label_conflict' when r > 1 then 'exact_duplicate' else 'kept' end as disposition from w join l using (key))"""
+    x as (select w.id, w.source, w.label, canonical_id, n_copies, case when labels > 1 then 'label_conflict' when r > 1 then 'exact_duplicate' else 'kept' end as disposition from w join l using (key)
+    union all select id, source, label, null, null, pre from k1 where pre is not null)"""
 
 
 @query("std_dispositions", _DISPOSED_SQL + " select id, canonical_id, n_copies, disposition from x")
 def std_dispositions(spark, d):
-    return S.dispositions(_keyed(spark, d)).select("id", "canonical_id", "n_copies", "disposition")
+    return _disposed(spark, d).select("id", "canonical_id", "n_copies", "disposition")
 
 
 @query(
     "std_lifecycle",
     _DISPOSED_SQL
-    + """ select source, count(*) as input_rows, count(*) filter (where disposition = 'placeholder') as empty_rows, count(*) filter (where disposition = 'label_conflict') as conflict_rows,
+    + """ select source, count(*) as input_rows, count(*) filter (where disposition not in ('review','excluded')) as candidate_rows, count(*) filter (where disposition = 'review') as review_rows, count(*) filter (where disposition = 'excluded') as excluded_rows,
+    count(*) filter (where disposition = 'placeholder') as empty_rows, count(*) filter (where disposition = 'artifact') as artifact_rows, count(*) filter (where disposition = 'label_conflict') as conflict_rows,
     count(*) filter (where disposition = 'exact_duplicate') as duplicate_rows, count(*) filter (where disposition = 'kept') as output_rows,
     count(*) filter (where disposition = 'kept' and label = 'normal') as normal_rows, count(*) filter (where disposition = 'kept' and label = 'spam') as spam_rows,
     count(*) filter (where disposition = 'kept' and label = 'phishing') as phishing_rows from x group by source""",
 )
 def std_lifecycle(spark, d):
-    return S.lifecycle_summary(S.dispositions(_keyed(spark, d)))
+    return S.lifecycle_summary(_disposed(spark, d))
 
 
 @query("label_conflicts", f"select key, count(distinct label) as n_labels, count(*) as n_rows from ({_KEYED_SQL}) group by key having count(distinct label) > 1")
@@ -169,7 +188,7 @@ def text_fields(spark, d):
     m = table(spark, d, "messages", ("id", "body", "label_status"))
     n = T.token_count(F.col("body"))
     return m.select(
-        "id", T.excerpt(F.translate("body", "\x0b", "\x0b"), 10**9).alias("flat"), n.cast("bigint").alias("n_tokens"), T.length_bucket(n).alias("bucket"),
+        "id", T.excerpt(F.col("body"), 10**9).alias("flat"), n.cast("bigint").alias("n_tokens"), T.length_bucket(n).alias("bucket"),
         T.flag_yes(F.col("label_status")).alias("yes_flag"), T.flag_eligible(F.col("label_status")).alias("eligible_flag"),
     )
 
@@ -182,15 +201,9 @@ def mail_fingerprints(spark, d):
     return t.select("id_thu", fp.alias("fingerprint"), T.stable_id("template_", T.duplicate_text(c("tieu_de"), c("noi_dung"), True)).alias("template_id"))
 
 
-@query("accent_forms", "select id, strip_accents(nfc_normalize(coalesce(subject,''))) as plain from messages where subject is not null and regexp_full_match(subject, '[\\x20-\\x7eÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĨĩŨũƠơƯưẠ-ỹ]*')")
+@query("accent_forms")
 def accent_forms(spark, d):
-    ok = F.col("subject").rlike(r"^[\x20-\x7eÀ-ÃÈ-ÊÌÍÒ-ÕÙÚÝà-ãè-êìíò-õùúýĂăĨĩŨũƠơƯưẠ-ỹ]*$")
-    return table(spark, d, "messages", ("id", "subject")).filter(ok).select("id", T.strip_accents(F.col("subject")).alias("plain"))
-
-
-@query("accent_forms_all")
-def accent_forms_all(spark, d):
-    """Every message, whatever letters its subject has; ``accent_forms`` keeps to those on which its SQL agrees."""
+    """Every message. No SQL: DuckDB strips other marks than these."""
     return table(spark, d, "messages", ("id", "subject")).select("id", T.strip_accents(F.col("subject")).alias("plain"))
 
 

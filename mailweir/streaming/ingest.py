@@ -66,11 +66,12 @@ def drain(result: DataFrame, mode: str, keep: Callable[[DataFrame], DataFrame] |
 
     def sink(batch: DataFrame, number: int) -> None:
         out = batch.withColumn("batch", F.lit(number))
-        out.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        # a batch that is tried again writes over its own folder; in complete mode the last batch holds everything
+        out.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/part={number}")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
-    table = spark.read.parquet(f"{base}/out").drop("batch") if keep is None else keep(spark.read.parquet(f"{base}/out"))
+    table = spark.read.parquet(f"{base}/out").drop("batch", "part") if keep is None else keep(spark.read.parquet(f"{base}/out"))
     return table
 
 

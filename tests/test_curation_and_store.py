@@ -68,3 +68,24 @@ def test_store(spark, tmp_path):
     (tmp_path / "s" / "version.json").write_text(json.dumps({"version": 99}))
     with pytest.raises(ValueError, match="99"):
         MailStore(spark, str(tmp_path / "s"))
+
+
+def test_events_feedback_and_health(spark, tmp_path):
+    store = MailStore(spark, str(tmp_path / "events"))
+    names = [c.split()[0] for c in TABLES["thu"].split(", ")]
+    rows = [tuple({"id_thu": i, "ma_thu_ngoai": f"x{i}", "thu_muc": "hop_thu_den", "da_doc": 0, "da_gan_sao": 0}.get(n) for n in names) for i in (1, 2)]
+    store.receive(spark.createDataFrame(rows, TABLES["thu"]))
+    ids = spark.createDataFrame([(1,)], "id_thu long")
+    assert store.set_flag(ids, "read", True, "2024-01-01") == 1 and store.set_flag(ids, "read", True, "2024-01-02") == 0
+    assert store.set_flag(ids, "star", True, "2024-01-01") == 1 and store.set_flag(ids, "star", True, "2024-01-02") == 1
+    assert {tuple(r) for r in store.flags().collect()} == {(1, 1, 1), (2, 0, 0)}
+    assert store.feedback(ids, "mark_spam", "2024-01-03") == 1 and store.feedback(ids, "mark_spam", "2024-01-04") == 0
+    assert store.table("phan_hoi").count() == 2 and store.feedback(ids, "report_error", "2024-01-05") == 0
+    row = store.open_mail(2, "2024-01-06").first()
+    assert row["da_doc"] == 1 and row["folder_now"] == "hop_thu_den" and store.view().filter("id_thu = 1").first()["folder_now"] == "thu_rac"
+    with pytest.raises(KeyError):
+        store.open_mail(9, "2024-01-06")
+    with pytest.raises(ValueError):
+        store.feedback(ids, "burn", "2024-01-06")
+    health = {r["check"]: r["found"] for r in store.health().collect()}
+    assert health["rows of phan_hoi"] == 3 and health["su_kien without mail"] == 0 and health["version"] == 2

@@ -49,10 +49,10 @@ def brute(left, right):
 
 def test_all_fields_against_brute_force(spark, tmp_path):
     d = write(spark, tmp_path)
-    points, blocked = brute(*([r.asDict() for r in side.collect()] for side in Q._full_sides(spark, d)))
-    got = {(r["left_id"], r["right_id"]): r["n_shared"] for r in Q.QUERIES["blocking_candidates_full"](spark, d).collect()}
+    points, blocked = brute(*([r.asDict() for r in side.collect()] for side in Q._sides(spark, d)))
+    got = {(r["left_id"], r["right_id"]): r["n_shared"] for r in Q.QUERIES["blocking_candidates"](spark, d).collect()}
     assert got == blocked and ("n1", "n2") in got  # a mailbox alone blocks
-    rows = Q.QUERIES["link_topk_full"](spark, d).collect()
+    rows = Q.QUERIES["link_topk"](spark, d).collect()
     for right in {b for _, b in points}:
         order = sorted((-p, a) for (a, b), p in points.items() if b == right)
         mine = sorted((r for r in rows if r["right_id"] == right), key=lambda r: r["candidate_rank"])
