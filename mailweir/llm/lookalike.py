@@ -34,9 +34,10 @@ def unstable_segments(text: str) -> list[tuple[int, int]]:
     for m in _unstable_run().finditer(text):
         a, b = m.span()
         if any(c in FOREIGN for c in m.group()):  # whether these letters change is a matter of the whole word
-            while a > 0 and (text[a - 1].isalpha() or unicodedata.combining(text[a - 1])):
+            unstable = _unstable_run().match  # marks, silent characters and joined letters stand inside words
+            while a > 0 and (text[a - 1].isalpha() or unstable(text[a - 1])):
                 a -= 1
-            while b < len(text) and (text[b].isalpha() or unicodedata.combining(text[b])):
+            while b < len(text) and (text[b].isalpha() or unstable(text[b])):
                 b += 1
         if a > 0:
             a -= 1  # the starter (or Hangul lead) that the run may compose with
@@ -44,10 +45,10 @@ def unstable_segments(text: str) -> list[tuple[int, int]]:
                 a -= 1
         while b < len(text) and unicodedata.combining(text[b]):
             b += 1
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-        else:
-            spans.append((a, b))
+        while spans and a <= spans[-1][1]:
+            before = spans.pop()
+            a, b = min(a, before[0]), max(b, before[1])
+        spans.append((a, b))
     return spans
 
 
