@@ -56,6 +56,11 @@ def test_extraction(spark):
     assert value(spark, X.urls, None) == []
 
 
+def test_numbers_end_where_words_of_the_sql_end(spark):
+    # a joiner ends a word; superscripts, marks and letters outside the BMP are part of it; other scripts have digits too
+    assert value(spark, X.numbers, "22\u200d up", "\u200c22", "22\u00b2", "22\u0301 x", "\U0001d5b9082/26", "22_1 x22", "\u0661\u0662", "22\n") == [["22"], ["22"], [], [], ["26"], [], ["\u0661\u0662"], ["22"]]
+
+
 def test_url_parts(spark):
     parts = value(spark, lambda c: X.url_parts(c, ("bit.ly",)), "http://192.0.2.10/login", "https://www.example.com/about", "https://xn--example-9za.test/p", "https://a.b.c.d.example.com/", "hxxp : / / 192 . 0 . 2 . 10 / login", "https://bit.ly/abc", "https://x.y.co.uk")
     assert (parts[0]["is_ip"], parts[0]["depth"], parts[0]["is_https"]) == (True, 0, False)
