@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mailweir.session import cut
+
 
 def message_text(subject: Column, body: Column) -> Column:
     return F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
@@ -35,38 +37,72 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
+#: Texts of one task; their counts are kept in memory. Terms of fewer texts than one in ``RARE`` are joined by a shuffle.
+TEXTS_A_TASK, RARE = 8192, 4096
+
+
+def _tasks(df: DataFrame, n_docs: int) -> int:
+    """Partitions by text, the same number for all that is joined by text."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n_docs // TEXTS_A_TASK))
+
+
+def _by_term(rows: DataFrame, per_term: DataFrame, n: str, n_docs: int, minimum: int = 0) -> DataFrame:
+    """Inner join of ``rows``, partitioned by id, with rows per term, partitioned by id again.
+
+    Terms that one text in ``RARE`` holds (count ``n``) are most of all rows and few in number (at most ``RARE`` times the
+    mean number of terms in a text): they are broadcast, so that their rows stay where they are. Only rows of rarer terms
+    are shuffled, to their terms and back.
+    """
+    limit, parts = max(minimum, n_docs // RARE), _tasks(rows, n_docs)
+    often = F.broadcast(per_term.filter(F.col(n) >= limit))
+    rare = rows.join(F.broadcast(per_term.filter(F.col(n) >= limit).select("term").distinct()), "term", "left_anti")
+    rare = rare.join(per_term.filter(F.col(n) < limit), "term")
+    return rows.join(often, "term").unionByName(rare.repartition(parts, "id"))
+
+
 def tfidf(df: DataFrame, terms: Column, id_col: str = "id", min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """(id, term, weight): sublinear counts, smoothed inverse frequency, unit length; terms in fewer texts are dropped.
 
-    ``max_features`` keeps the terms of highest total count (ties by term).
+    ``max_features`` keeps the terms of highest total count (ties by term). Texts are shuffled once, by id; their terms
+    are counted and weighed there, and never shuffled but for the rare ones.
     """
     n_docs = df.count()
-    tf = df.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("total")).filter(F.col("df") >= min_df)
+    docs = df.repartition(_tasks(df, n_docs), id_col).select(F.col(id_col).alias("id"), F.explode(terms).alias("term"))
+    tf = docs.groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+    if max_features or not df.groupBy(id_col).count().filter("count > 1").isEmpty():
+        df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("total"))
+    else:  # a text of each id: its terms are counted where it is read
+        df_t = df.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df_t = df_t.filter(F.col("df") >= min_df)
     if max_features:
         df_t = df_t.orderBy(F.col("total").desc(), "term").limit(max_features)
+    df_t = cut(df_t.select("term", "df"))
     idf = F.log((F.lit(1.0) + n_docs) / (1.0 + F.col("df"))) + 1.0
-    w = tf.join(df_t, "term").select("id", "term", ((1.0 + F.log("c")) * idf).alias("w"))
+    w = _by_term(tf, df_t, "df", n_docs, min_df).select("id", "term", ((1.0 + F.log("c")) * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return w.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def contributions(weights: DataFrame, coefficients: DataFrame, k: int = 5) -> DataFrame:
-    """(id, label, term, contribution, rank): strongest positive terms of a linear model for each text and label."""
-    c = weights.join(coefficients, "term").withColumn("contribution", F.col("weight") * F.col("coefficient"))
+def contributions(weights: DataFrame, coefficients: DataFrame, k: int = 5, n_docs: int = 0) -> DataFrame:
+    """(id, label, term, contribution, rank): strongest positive terms of a linear model for each text and label.
+
+    With ``n_docs``, their number, texts stay where ``tfidf`` put them; coefficients then have the count ``n_texts``.
+    """
+    c = (_by_term(weights, coefficients, "n_texts", n_docs) if n_docs else weights.join(coefficients, "term")).withColumn("contribution", F.col("weight") * F.col("coefficient"))
     c = c.filter((F.col("contribution") > 0) & ~F.col("term").rlike("^[0-9 ]*$"))
     w = Window.partitionBy("id", "label").orderBy(F.col("contribution").desc(), "term")
     return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "label", "term", "contribution", "rank")
 
 
 def class_coefficients(weights: DataFrame, labels: DataFrame) -> DataFrame:
-    """(term, label, coefficient): mean weight of a term inside a label less its mean outside."""
+    """(term, label, coefficient, n_texts): mean weight of a term inside a label less its mean outside; labelled texts
+    that hold the term."""
     n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     whole = labels.agg(F.count(F.lit(1)).alias("whole")).first()["whole"]
-    by = weights.join(labels, "id").groupBy("term", "label").agg(F.sum("weight").alias("s"))
-    total = weights.join(labels, "id").groupBy("term").agg(F.sum("weight").alias("all"))
-    j = by.join(total, "term").join(F.broadcast(n), "label")  # one row a label
-    return j.select("term", "label", (F.col("s") / F.col("n") - (F.col("all") - F.col("s")) / (F.lit(whole) - F.col("n"))).alias("coefficient"))
+    by = weights.join(labels, "id").groupBy("term", "label").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("m"))
+    term = Window.partitionBy("term")  # at most a row a label
+    j = by.withColumns({"all": F.sum("s").over(term), "n_texts": F.sum("m").over(term)}).join(F.broadcast(n), "label")  # one row a label
+    return j.select("term", "label", (F.col("s") / F.col("n") - (F.col("all") - F.col("s")) / (F.lit(whole) - F.col("n"))).alias("coefficient"), "n_texts")
 
 
 def unit(col: Column) -> Column:

@@ -24,8 +24,7 @@ def _text(spark, d, *columns):
 
 
 def _text_weights(spark, d):
-    m = spread(_text(spark, d))
-    return features.tfidf(m, features.word_terms(F.col("text"), features.ANY_WORD))
+    return features.tfidf(_text(spark, d), features.word_terms(F.col("text"), features.ANY_WORD))
 
 
 def _labels(spark, d):
@@ -45,14 +44,15 @@ def tfidf_weights(spark, d):
 )
 def tfidf_class_terms(spark, d):
     labels = table(spark, d, "messages", ("id", "label")).select("id", F.lower(F.trim("label")).alias("label")).filter("label in ('normal','spam','phishing')")
-    return features.class_coefficients(cut(_text_weights(spark, d)), labels).select("term", "label", F.round("coefficient", 8).alias("coefficient"))
+    return features.class_coefficients(_text_weights(spark, d), labels).select("term", "label", F.round("coefficient", 8).alias("coefficient"))
 
 
 @query("top_contributions")
 def top_contributions(spark, d):
     """The five strongest terms a text and label: the limit is the feature."""
-    w = cut(_text_weights(spark, d))
-    return features.contributions(w, features.class_coefficients(w, _labels(spark, d)))
+    w = _text_weights(spark, d)
+    coefficients = cut(features.class_coefficients(w, _labels(spark, d)))
+    return features.contributions(w, coefficients, n_docs=table(spark, d, "messages", ("id",)).count())
 
 
 @query("char_ngrams")

@@ -56,3 +56,35 @@ def test_variants(spark):
     results = spark.createDataFrame([("m", "clean", "x", 0.9, 10.0), ("m", "spacing", "y", 0.6, 30.0)], "parent_id string, variant string, prediction string, confidence double, risk double")
     got = {r["scope"]: r for r in R.variant_measures(R.against_clean(results)).collect()}
     assert got["all_transformed"]["flip_rate"] == 1.0 and abs(got["spacing"]["mean_drop"] - 0.3) < 1e-9 and got["clean"]["n_rows"] == 1
+
+
+def _plain_weights(rows, min_df):
+    counts = {}
+    for i, t in rows:
+        for w in t.split():
+            counts.setdefault(i, {}).setdefault(w, 0)
+            counts[i][w] += 1
+    df = {}
+    for c in counts.values():
+        for w in c:
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for i, c in counts.items():
+        x = {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items() if df[w] >= min_df}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        out.update({(i, w): v / norm for w, v in x.items()})
+    return out
+
+
+def test_tfidf_of_common_and_rare_terms_shuffles_no_counts(spark, monkeypatch):
+    monkeypatch.setattr(X, "RARE", 8)  # terms of fewer than 50 texts are rare
+    monkeypatch.setattr(X, "TEXTS_A_TASK", 30)
+    r = random.Random(3)
+    rows = [(f"m{i}", " ".join(f"w{int(r.paretovariate(0.5)) % 500}" for _ in range(15))) for i in range(400)]
+    for more in ([], [("m1", "w1 w1 w2 w77"), (None, "w1 w2 w2")]):  # an id twice, and none
+        df = spark.createDataFrame(rows + more, "id string, t string")
+        out = X.tfidf(df, F.split("t", " "))
+        got, want = {(x["id"], x["term"]): x["weight"] for x in out.collect()}, _plain_weights(rows + more, 2)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Exchange hashpartitioning(id" in x and "ENSURE_REQUIREMENTS" in x]
