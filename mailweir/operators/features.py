@@ -38,7 +38,7 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 #: Texts of one task; their counts are kept in memory. Terms of fewer texts than one in ``RARE`` are joined by a shuffle.
-TEXTS_A_TASK, RARE = 8192, 4096
+TEXTS_A_TASK, RARE = 8192, 16384
 
 
 def _tasks(df: DataFrame, n_docs: int) -> int:

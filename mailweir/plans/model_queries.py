@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailweir.operators import features, robustness
 from mailweir.plans.registry import Registry
-from mailweir.session import cut, spread
+from mailweir.session import spread
 from mailweir.sources.tables import table
 
 query = Registry()
@@ -51,7 +51,7 @@ def tfidf_class_terms(spark, d):
 def top_contributions(spark, d):
     """The five strongest terms a text and label: the limit is the feature."""
     w = _text_weights(spark, d)
-    coefficients = cut(features.class_coefficients(w, _labels(spark, d)))
+    coefficients = features.class_coefficients(w, _labels(spark, d))
     return features.contributions(w, coefficients, n_docs=table(spark, d, "messages", ("id",)).count())
 
 

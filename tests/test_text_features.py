@@ -68,3 +68,16 @@ def test_char_ngrams_of_three_to_five(spark, tmp_path):
             want.update(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))
     got = {r["term"]: r["n"] for r in Q.QUERIES["char_ngrams"](spark, write(spark, tmp_path)).collect()}
     assert got == want
+
+
+def test_contributions_of_rare_terms_meet_no_checkpoint(spark, tmp_path, monkeypatch):
+    from mailweir.operators import features as X
+
+    d = write(spark, tmp_path)
+    want = sorted((r["id"], r["label"], r["term"], round(r["contribution"], 9)) for r in Q.QUERIES["top_contributions"](spark, d).collect())
+    monkeypatch.setattr(X, "RARE", 1)  # every term that not all texts hold is rare
+    written = []
+    monkeypatch.setattr(X, "cut", lambda df, real=X.cut: written.append(df.columns) or real(df))
+    got = Q.QUERIES["top_contributions"](spark, d)
+    assert sorted((r["id"], r["label"], r["term"], round(r["contribution"], 9)) for r in got.collect()) == want
+    assert written == [["term", "df"]]  # neither weights nor contributions
