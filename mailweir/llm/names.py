@@ -1,31 +1,36 @@
 """Full names of persons in running text, found by a fitted linear model over words (for problem 10).
 
-Nobody labels names, so the model labels its own sample. In a bounded sample of documents (``SAMPLE``, chosen by a hash
-of the id) the seeds are names whose place in a mail gives them away: the line under a closing formula, the words before
-a mailbox in angle brackets, the words behind a form of address. Parts that recur in seeds make a lexicon; runs of such
-parts anywhere in the sample are the positive words, all other words the negative ones. A logistic model is fitted on
-each word (identity, beginning, end, case), its neighbours and the marks between them; words and lexicon are left out of
-half of the positive examples, so that context and form can decide alone. The model then labels the sample again, which
-extends the lexicon by the parts that stand beside known ones, and is fitted a second time. No phrase that introduces names is written down: the model learns those
-of the corpus.
-
-What is sent to the workers is the weight table, of ``BUCKETS`` numbers.
+Nobody labels names, so the model labels the corpus itself, all of it. The seeds are names whose place in a mail gives
+them away: the line under a closing formula, the words before a mailbox in angle brackets, the words behind a form of
+address. Parts that recur in seeds make a lexicon; runs of such parts anywhere in the corpus are the positive words, all
+other words the negative ones. A logistic model is fitted on each word (identity, beginning, end, case), its neighbours
+and the marks between them; two more views of each word leave out identity and lexicon, so that context and form can
+decide alone. The model then labels the corpus again, which extends the lexicon by the parts that stand beside known
+ones, and is fitted a second time. No phrase that introduces names is written down: the model learns those of the corpus.
+
+The corpus is held in blocks of coded words (``Block``), equal examples of a block are one with a count (``Examples``),
+and each pass of the fit sums the gradients of all blocks. ``fit`` does this in one process, ``pii.fitted`` on the
+cluster, with the same functions. What is sent to the workers is the weight table, of ``BUCKETS`` numbers.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SAMPLE = 3000
 BUCKETS = 1 << 17
 PASSES = 30
+#: Weight of an example in small letters that is no name, in no lexicon and beside no name: such words are most of a text.
+FAR = 0.15
+#: Characters of the texts of a block.
+BLOCK = 3_000_000
 #: Log-odds at which a word is in a name, at which a capitalised word beside such a word is (one at the begin of a
 #: sentence needs more), and the mean at which two capitalised words are one without either being sure.
 SURE, WEAK, WEAK_START, PAIR = 0.0, -3.2, -0.7, -2.2
@@ -42,6 +47,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLOSING = re.compile(rf"(?:{'|'.join(map(re.escape, CLOSINGS))})[ \t]*[,.!]?[ \t\r]*", re.I)
 _BOX = re.compile(r"\S*[ ]?@[ ]?\S*")
 _MAILBOX_NAME = re.compile(r"((?:[^\W\d_][\w.'’-]*[ ,]+){1,4}[^\W\d_][\w.'’-]*)[\"']?[ ]?<[^<>@\s]+@")
+_TITLE = re.compile("|".join(TITLES), re.I)
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?[ ]((?:[^\W\d_][\w'’-]*\.?[ ]){{1,3}}[^\W\d_][\w'’-]*)", re.I)
 
 JOIN, GLUE, COMMA, STOP, COLON, LINE, OTHER = range(7)
@@ -150,7 +156,9 @@ class Layout:
         real[first] = False
         real[first + n - 1] = False
         marks[(first + 1)[n > 2]] = LINE
-        self.ids, self.marks, self.begins, self.lengths = ids[real], marks[real], begins[real], lengths[real]
+        tight = widths == 1  # one character after a word
+        tight[(first + 1)[n > 2]] = False
+        self.ids, self.marks, self.begins, self.lengths, self.tight = ids[real], marks[real], begins[real], lengths[real], tight[real]
         self.counts = (n - 2).tolist()
 
     def settle(self, case: np.ndarray) -> None:
@@ -159,6 +167,13 @@ class Layout:
         initial = np.r_[False, self.case[:-1] == LETTER][: len(self.case)]
         self.marks = np.where(initial & (self.marks == STOP), JOIN, self.marks)
         self.after = np.r_[self.marks[1:], LINE] if len(self.marks) else self.marks
+        # cases of the words beside each, which do not reach into other texts
+        n = np.array(self.counts, np.int64)
+        ends = np.cumsum(n)[n > 0]
+        self.first, self.last = ends - n[n > 0], ends - 1
+        self.case_before, self.case_behind = np.r_[LOWER, self.case[:-1]][: len(self.case)], np.r_[self.case[1:], LOWER][: len(self.case)]
+        self.case_before[self.first] = LOWER
+        self.case_behind[self.last] = LOWER
 
 
 _CONTEXT = {(k, m): _hash(f"{k} <{m}>") for k in "pqf" for m in range(7)}
@@ -196,10 +211,13 @@ class Model:
         lay = Layout(texts, self.words, self.gaps)
         if not len(lay.ids) or not self.lexicon.any():  # an unfitted model finds nothing
             return [[] for _ in texts]
-        column = self.words.column
+        return decode(texts, lay, self.good(lay, self.words.column))
+
+    def good(self, lay: Layout, column: Callable[[int], np.ndarray]) -> np.ndarray:
+        """Whether each word is taken for a part of a name; ``column`` has what ``describe`` says of the words."""
         lay.settle(column(4).astype(np.int64))
         z = self.score(lay, column(0), column(1), column(2), column(3), column(5).astype(np.int64))
-        return decode(texts, lay, self.grow(lay, z, column(6) > 0))
+        return self.grow(lay, z, column(6) > 0)
 
     def grow(self, lay: Layout, z: np.ndarray, could: np.ndarray) -> np.ndarray:
         """Sure words, likely pairs, and the weak words that stand beside them.
@@ -224,34 +242,44 @@ class Model:
         near = m <= COMMA
         z = self_w[ids] + np.where(near, prev_w[back], const["p"][m]) + np.where(a <= COMMA, next_w[on], const["f"][a])
         z += np.where(near & (m_back <= COMMA), prev2_w[back2], const["q"][m])
-        cases, l = lay.case, lex[ids]
-        z += self._table("before")[m, cases[np.r_[0, np.arange(len(ids) - 1)]]] + self._table("behind")[a, cases[np.r_[np.arange(1, len(ids)), len(ids) - 1]]]
-        z += self._table("start")[m, cases]
+        l = lex[ids]
+        z += self._table("before")[m, lay.case_before] + self._table("behind")[a, lay.case_behind]
+        z += self._table("start")[m, lay.case]
         z += self.weights[_LEX] * l + self._table("lexb")[m, np.where(near, lex[back], 0)] + self._table("lexf")[a, np.where(a <= COMMA, lex[on], 0)]
         return z
 
 
-def decode(texts: Sequence[str], lay: Layout, good: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Runs of two or more words that the model takes for parts of names, one case throughout."""
-    out: list[list[tuple[int, int]]] = []
+def _runs(lay: Layout, good: np.ndarray) -> Iterator[list[int]]:
+    """Runs of two or more words that the model takes for parts of names, one case throughout. A text begins with a line
+    mark, so none reaches into the next."""
     hits = np.flatnonzero(good)
-    at, k, base = 0, 0, 0
-    for text, n in zip(texts, lay.counts):
-        spans: list[tuple[int, int]] = []
-        end = base + n
-        while k < len(hits) and hits[k] < end:
-            run = [int(hits[k])]
-            k += 1
-            while k < len(hits) and hits[k] == run[-1] + 1 and hits[k] < end:
-                mark = lay.marks[hits[k]]
-                if mark <= GLUE or mark == COMMA and _n_parts(lay, run) == 1:
-                    run.append(int(hits[k]))
-                    k += 1
-                else:
-                    break
-            spans += _trim(text, lay, run)
-        out.append(spans)
-        base = end
+    marks = lay.marks[hits].tolist()
+    hits = hits.tolist()
+    k = 0
+    while k < len(hits):
+        run = [hits[k]]
+        k += 1
+        while k < len(hits) and hits[k] == run[-1] + 1:
+            if marks[k] <= GLUE or marks[k] == COMMA and _n_parts(lay, run) == 1:
+                run.append(hits[k])
+                k += 1
+            else:
+                break
+        run = _trim(lay, run)
+        if run:
+            yield run
+
+
+def decode(texts: Sequence[str], lay: Layout, good: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Places of the names in each text."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    ends = np.cumsum(lay.counts)
+    for run in _runs(lay, good):
+        at = int(np.searchsorted(ends, run[0], "right"))
+        a, b = int(lay.begins[run[0]]), int(lay.begins[run[-1]] + lay.lengths[run[-1]])
+        if lay.case[run[-1]] == LETTER and texts[at][b : b + 1] == ".":
+            b += 1
+        out[at].append((a, b))
     return out
 
 
@@ -260,7 +288,7 @@ def _n_parts(lay: Layout, run: list[int]) -> int:
     return len(run) - sum(lay.marks[i] == GLUE for i in run[1:])
 
 
-def _trim(text: str, lay: Layout, run: list[int]) -> list[tuple[int, int]]:
+def _trim(lay: Layout, run: list[int]) -> list[int]:
     case = [lay.case[i] for i in run]
     if case[0] != LOWER:  # a capitalised name ends before a small word
         while run and lay.case[run[-1]] == LOWER:
@@ -273,17 +301,14 @@ def _trim(text: str, lay: Layout, run: list[int]) -> list[tuple[int, int]]:
             run.pop()
     if not run or not 2 <= _n_parts(lay, run) <= 6 or all(lay.case[i] == LETTER for i in run):
         return []
-    a, b = int(lay.begins[run[0]]), int(lay.begins[run[-1]] + lay.lengths[run[-1]])
-    if lay.case[run[-1]] == LETTER and text[b : b + 1] == ".":
-        b += 1
-    return [(a, b)]
+    return run
 
 
 # ---------------------------------------------------------------- fitting
 
 
-def seeds(text: str) -> list[str]:
-    """Names that their place gives away."""
+def seeds(text: str, titled: bool = True) -> list[str]:
+    """Names that their place gives away; ``titled`` is false if no form of address is in the text."""
     found = []
     armed = False
     for line in text.split("\n"):
@@ -295,22 +320,14 @@ def seeds(text: str) -> list[str]:
             armed = False
         if bare and _CLOSING.fullmatch(bare):
             armed = True
-    if "@" in text:
-        found += _MAILBOX_NAME.findall(text)
-    found += _TITLED.findall(text)
+        if "<" in line and "@" in line:
+            found += _MAILBOX_NAME.findall(line)
+    if titled:
+        found += _TITLED.findall(text)
     return found
 
 
-def _examples(model: Model, texts: Sequence[str]) -> tuple[Layout, np.ndarray, np.ndarray, np.ndarray]:
-    model.words.clear()
-    lay = Layout(texts, model.words, model.gaps)
-    case = model.words.column(4).astype(np.int64)
-    lex = model.words.column(5) > 0
-    lay.settle(case)
-    return lay, case, lex, lex[lay.ids]
-
-
-def _label(texts: Sequence[str], lay: Layout, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _label(lay: Layout, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in full names, and words that no one can tell.
 
     A name begins and ends with a word of the lexicon or an initial; capitals between two such words belong to it.
@@ -319,122 +336,239 @@ def _label(texts: Sequence[str], lay: Layout, inside: np.ndarray) -> tuple[np.nd
     n = len(lay.ids)
     y = np.zeros(n, np.bool_)
     doubt = np.zeros(n, np.bool_)
-    sure = inside | (lay.case == LETTER)
-    big = lay.case != LOWER
-    i = 0
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(inside).tolist()
+    inside, sure, big = inside.tolist(), (inside | (lay.case == LETTER)).tolist(), (lay.case != LOWER).tolist()
+    letter, marks = (lay.case == LETTER).tolist(), [*lay.marks.tolist(), LINE]  # a text ends before a line mark
     k = 0
-    ends = np.cumsum(lay.counts)
     while k < len(at):
-        i = int(at[k])
-        lo = hi = last = i
-        stop = int(ends[np.searchsorted(ends, i, "right")]) - 1
-        while lo > 0 and lay.marks[lo] <= GLUE and lay.case[lo - 1] == LETTER:
+        lo = hi = last = i = at[k]
+        while lo > 0 and marks[lo] <= GLUE and letter[lo - 1]:
             lo -= 1
-        while hi < stop and (lay.marks[hi + 1] <= GLUE or lay.marks[hi + 1] == COMMA and hi == lo) and (big[hi + 1] == big[i] if not sure[hi + 1] else True):
-            if not big[hi + 1] and not sure[hi + 1]:
-                break
+        while (marks[hi + 1] <= GLUE or marks[hi + 1] == COMMA and hi == lo) and (sure[hi + 1] or big[hi + 1] and big[i]):
             hi += 1
             if sure[hi]:
                 last = hi
-        if last > lo and bool(inside[lo : last + 1].sum() * 2 >= last + 1 - lo) and len({bool(b) for b in big[lo : last + 1]}) == 1:
+        if last > lo and sum(inside[lo : last + 1]) * 2 >= last + 1 - lo and len(set(big[lo : last + 1])) == 1:
             y[lo : last + 1] = True
         else:
             last = lo
             doubt[lo] = big[lo]
-        if last < stop and lay.marks[last + 1] <= GLUE and big[last] and big[last + 1]:
+        if marks[last + 1] <= GLUE and big[last] and big[last + 1]:
             doubt[last + 1] = True
-        k = int(np.searchsorted(at, last, "right"))
+        k += 1
+        while k < len(at) and at[k] <= last:
+            k += 1
     return y, doubt & ~y
 
 
-def _lexicon(parts: Counter, lower: Counter) -> np.ndarray:
-    """Hashed parts that stand in two names or more; those in small letters not mostly as other words."""
+def listed(part: str, n: int, lower: int) -> bool:
+    """Whether a part belongs to the lexicon: it stands in two names or more, and in small letters not mostly as another word."""
+    return n >= 2 and len(part) > 1 and lower <= 2 * n
+
+
+def lexicon_of(parts: Iterable[str]) -> np.ndarray:
     out = np.zeros(BUCKETS, np.bool_)
-    for part, n in parts.items():
-        if n >= 2 and len(part) > 1 and lower[part] <= 2 * n:
-            out[_part(part)] = True
+    out[[_part(p) for p in parts]] = True
     return out
 
 
 def _parts(name: str) -> list[str]:
     """Words of a name of one case; capitals throughout count as first capitals."""
-    words = _WORD.findall(name)
+    return _one_case(_WORD.findall(name))
+
+
+def _one_case(words: list[str]) -> list[str]:
     if len({w[0].islower() for w in words}) != 1:
         return []
     return [w if w[0].islower() else w[0] + w[1:].lower() for w in words]
 
 
-def fit(texts: Sequence[str]) -> Model:
-    """A model from unlabelled texts; without seeds it finds nothing."""
-    parts: Counter = Counter()
-    for text in texts:
-        parts.update({w for s in seeds(text) for w in _parts(s)})
-    lower: Counter = Counter()
-    for text in texts:
-        lower.update({w for w in _WORD.findall(_BOX.sub(" ", text) if "@" in text else text) if w[0].islower()})
-    model = Model()
-    if not parts:
-        return model
-    model.lexicon = _lexicon(parts, lower)
-    for again in range(2):
-        model.words.clear()
-        lay, case, lex, inside = _examples(model, texts)
-        model.weights = _train(model, lay, lex, *_label(texts, lay, inside))
-        model.words.clear()
-        if again:
-            break
-        more: Counter = Counter()
-        for text, spans in zip(texts, model.find(texts)):
-            for a, b in spans:
-                found = _parts(text[a:b])
-                # the first word of a sentence may be another word with a capital, and adds nothing
-                if any(map(model.known, found)):
-                    more.update(found[int(a < 2 or not text[a - 2].isalpha()) :])
-        model.lexicon |= _lexicon(more, lower)
-    return model
+class Block(Layout):
+    """The words of many texts as numbers of a vocabulary of their own."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.words: dict[str, int] = _Numbers()
+        super().__init__(texts, self.words, _Gaps())
+
+    def pack(self) -> bytes:
+        """Without places."""
+        flags = (self.marks | self.tight * 8).astype(np.uint8)
+        return _packed(list(self.words), self.ids.astype(np.int32), flags, np.array(self.counts, np.int32))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        block = cls.__new__(cls)
+        words, ids, flags, counts = _unpacked(data)
+        block.words, block.ids, block.marks, block.tight, block.counts = words, ids.astype(np.int64), (flags & 7).astype(np.int64), flags > 7, counts.tolist()
+        return block
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _packed(*values) -> bytes:
+    raw = pickle.dumps(values, pickle.HIGHEST_PROTOCOL)
+    return pickle.dumps((len(raw), pa.compress(raw, "zstd", asbytes=True)))
+
+
+def _unpacked(data: bytes) -> tuple:
+    size, raw = pickle.loads(data)
+    return pickle.loads(pa.decompress(raw, size, "zstd", asbytes=True))
 
 
-def _train(model: Model, lay: Layout, lex: np.ndarray, y: np.ndarray, doubt: np.ndarray) -> np.ndarray:
-    rng = np.random.default_rng(7)
-    vocabulary = [word_features(w) for w in model.words]
-    own = np.array([v[0] for v in vocabulary], np.int64)
-    before, before2, after = (np.array([v[k] for v in vocabulary], np.int64) for k in (1, 2, 3))
-    ids, m, a = lay.ids, lay.marks, lay.after
-    n = len(ids)
-    back, back2, on = np.r_[ids[:1], ids[:-1]], np.r_[ids[:1], ids[:1], ids[:-2]][:n], np.r_[ids[1:], ids[-1:]]
-    m_back = np.r_[m[:1], m[:-1]]
-    const = {k: np.array([_CONTEXT[k, x] for x in range(7)], np.int64) for k in "pqf"}
-    table = {k: np.array([[_CASES[k, x, c] for c in range(8)] for x in range(7)], np.int64) for k in ("before", "behind", "start", "lexb", "lexf")}
+def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in lists of ``BLOCK`` characters, a longer one by itself."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= BLOCK:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def census(texts: Sequence[str], block: Block) -> tuple[Counter, Counter]:
+    """Texts that hold each part in a seed, and texts that hold each word in small letters outside of mailboxes; ``block`` has the texts' words."""
+    words = list(block.words)
+    at = np.repeat(np.arange(len(texts)), block.counts)
+    titled = np.zeros(len(texts), np.bool_)
+    titled[at[np.array([bool(_TITLE.fullmatch(w)) for w in words], np.bool_)[block.ids]]] = True
+    boxed = np.array(["@" in text for text in texts], np.bool_)
+    use = np.array([w[0].islower() for w in words], np.bool_)[block.ids] & ~boxed[at]
+    held = np.bincount(np.unique(at[use] * len(words) + block.ids[use]) % len(words), minlength=len(words)).tolist()
+    lower = Counter({w: n for w, n in zip(words, held) if n})
+    parts: Counter = Counter()
+    for text, title, box in zip(texts, titled.tolist(), boxed.tolist()):
+        parts.update({w for s in seeds(text, title) for w in _parts(s)})
+        if box:
+            lower.update({w for w in set(_WORD.findall(_BOX.sub(" ", text))) if w[0].islower()})
+    return parts, lower
+
+
+def more_parts(block: Block, model: Model) -> Counter:
+    """Parts of the names that a model finds, if one of the parts is known."""
+    more: Counter = Counter()
+    words = list(block.words)
+    if not len(block.ids):
+        return more
+    table = np.array([model.describe(w) for w in words], np.float32)
+    for run in _runs(block, model.good(block, lambda k: table[:, k])):
+        found = _one_case([words[block.ids[i]] for i in run])
+        # the first word of a sentence may be another word with a capital, and adds nothing
+        if any(map(model.known, found)):
+            more.update(found[int(not block.tight[run[0]]) :])
+    return more
+
+
+# Shapes are what an example has besides words: marks on both sides, whether the second word before counts, cases of three
+# words, lexicon on three words.
+_RADIX = (7, 7, 2, 4, 4, 4, 2, 2, 2)
+#: Features of each shape; those of contexts, of cases, of the lexicon, and of the lexicon where it is left out.
+_NONE = BUCKETS
+
+
+def _shape_features(shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    for m, a, far, before, case, behind, here, back, on in zip(*(x.tolist() for x in np.unravel_index(shapes, _RADIX))):
+        rows[0].append((_NONE if m <= COMMA else _CONTEXT["p", m], _NONE if far else _CONTEXT["q", m], _NONE if a <= COMMA else _CONTEXT["f", a]))
+        rows[1].append((_CASES["before", m, before], _CASES["behind", a, behind], _CASES["start", m, case]))
+        rows[2].append((_LEX if here else _NONE, _CASES["lexb", m, back], _CASES["lexf", a, on]))
+        rows[3].append((_CASES["lexb", m, 0], _CASES["lexf", a, 0]))
+    return tuple(np.array(r, np.int64).reshape(len(shapes), -1) for r in rows)
+
+
+def examples(block: Block, lexicon: np.ndarray) -> bytes:
+    """The examples of a block, packed for ``gradient``; equal ones are one with their weight."""
+    model = Model(lexicon=lexicon)
+    features = [word_features(w) for w in block.words]
+    hashed = np.array([(*own, p, q, f) for own, p, q, f, _ in features], np.int32).reshape(-1, 7)
+    lex = np.array([model.known(w) for w in block.words], np.bool_)
+    block.settle(np.array([f[4] for f in features], np.int64))
+    ids, m, a, none = block.ids, block.marks, block.after, len(features)
+    inside = lex[ids]
+    y, doubt = _label(block, inside)
+    back, back2, on = (np.concatenate(x)[: len(ids)] for x in (([none], ids[:-1]), ([none, none], ids[:-2]), (ids[1:], [none])))
     near, ahead = m <= COMMA, a <= COMMA
-    keep = y | (lay.case != LOWER) | lex[ids] | (rng.random(n) < 0.15)
-    for shift in (1, -1):  # words beside names
-        keep |= np.roll(y, shift)
-    use = np.flatnonzero(keep & ~doubt)
-    lexw = lex[ids].astype(np.int64)
-    cols = [own[ids][:, k] for k in range(own.shape[1])]
-    cols += [np.where(near, before[back], const["p"][m]), np.where(near & (m_back <= COMMA), before2[back2], const["q"][m]), np.where(ahead, after[on], const["f"][a])]
-    cols += [table["before"][m, lay.case[np.r_[0, np.arange(n - 1)]]], table["behind"][a, lay.case[np.r_[np.arange(1, n), n - 1]]], table["start"][m, lay.case]]
-    cols += [np.where(lexw > 0, _LEX, BUCKETS), table["lexb"][m, np.where(near, lex[back], 0)], table["lexf"][a, np.where(ahead, lex[on], 0)]]
-    x = np.stack([c[use] for c in cols], axis=1)
-    t = y[use].astype(np.float32)
-    # two more views of every example: without identity and lexicon, and without the words around it either, so that
-    # context and form learn to decide alone
-    blind = x.copy()
-    blind[:, [0, 10]] = BUCKETS
-    blind[:, 11] = table["lexb"][m[use], 0]
-    blind[:, 12] = table["lexf"][a[use], 0]
-    form = blind.copy()
-    form[:, 4:7] = BUCKETS
-    x, t = np.concatenate([x, blind, form]), np.concatenate([t, t, t])
+    far = near & (np.r_[LINE, m[:-1]][: len(m)] <= COMMA)
+    back, back2, on = np.where(near, back, none), np.where(far, back2, none), np.where(ahead, on, none)
+    known = np.r_[lex, False]
+    shape = np.ravel_multi_index((m, a, far, block.case_before, block.case, block.case_behind, inside, known[back], known[on]), _RADIX)
+    before, behind = np.r_[False, y[:-1]][: len(y)], np.r_[y[1:], False][: len(y)]
+    before[block.first] = behind[block.last] = False
+    full = y | (block.case != LOWER) | inside | before | behind
+    table = pa.table({"w": ids, "p": back, "q": back2, "f": on, "s": (shape * 2 + y) * 2 + full}).filter(pa.array(~doubt))
+    table = table.group_by(["w", "p", "q", "f", "s"], use_threads=False).aggregate([([], "count_all")])
+    code = table["s"].to_numpy()
+    weight = table["count_all"].to_numpy() * np.where(code & 1, 1.0, FAR)
+    shapes, shape = np.unique(code >> 2, return_inverse=True)
+    columns = [table[c].to_numpy().astype(np.int32) for c in "wpqf"]
+    return _packed(hashed, _shape_features(shapes), *columns, shape.astype(np.int32), (code >> 1 & 1).astype(np.bool_), weight.astype(np.float32))
+
+
+def gradient(data: bytes, w: np.ndarray) -> np.ndarray:
+    """Sum of the gradients of packed examples at weights ``w`` of ``BUCKETS + 1`` numbers, the last of which is zero.
+
+    Each example has two more views: without identity and lexicon, and without the words around it either.
+    """
+    hashed, (contexts, cases, lexical, blank), word, p, q, f, shape, y, weight = _unpacked(data)
+    n, k = len(hashed) + 1, len(cases)
+    own, other = hashed[:, 0], hashed[:, 1:4]
+    pad = lambda x: np.append(x, 0.0)
+    form = pad(w[other].sum(axis=1))[word] + (w[cases].sum(axis=1) + w[blank].sum(axis=1))[shape]
+    around = pad(w[hashed[:, 4]])[p] + pad(w[hashed[:, 5]])[q] + pad(w[hashed[:, 6]])[f] + w[contexts].sum(axis=1)[shape]
+    blind = form + around
+    full = blind + pad(w[own])[word] + (w[lexical].sum(axis=1) - w[blank].sum(axis=1))[shape]
+    full, blind, form = (weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y) for z in (full, blind, form))
+    around, less = full + blind, blind + form
+    whole = full + less
+    of_word = lambda index, err: np.bincount(index, err, n)[:-1]
+    of_shape = lambda err: np.bincount(shape, err, k)[:, None]
+    sums = [
+        (own, of_word(word, full)), (other, of_word(word, whole)[:, None]),
+        (hashed[:, 4], of_word(p, around)), (hashed[:, 5], of_word(q, around)), (hashed[:, 6], of_word(f, around)),
+        (contexts, of_shape(around)), (cases, of_shape(whole)), (lexical, of_shape(full)), (blank, of_shape(less)),
+    ]
+    index = np.concatenate([i.ravel() for i, _ in sums])
+    return np.bincount(index, np.concatenate([np.broadcast_to(g, i.shape).ravel() for i, g in sums]), BUCKETS + 1)
+
+
+def descend(gradient_at: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights after ``PASSES`` steps over all examples, whose gradient at given weights is asked for."""
     w = np.zeros(BUCKETS + 1, np.float64)
     speed = np.full(BUCKETS + 1, 1e-3)
     for _ in range(PASSES):
-        z = w[x].sum(axis=1)
-        err = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - t
-        grad = np.bincount(x.ravel(), np.repeat(err, x.shape[1]), BUCKETS + 1) + 0.05 * w
+        grad = gradient_at(w) + 0.05 * w
         grad[BUCKETS] = 0.0
         speed += grad * grad
         w -= 0.5 * grad / np.sqrt(speed)
         w[BUCKETS] = 0.0
     return w[:BUCKETS].astype(np.float32)
+
+
+def fit(texts: Sequence[str]) -> Model:
+    """A model from unlabelled texts; without seeds it finds nothing."""
+    parts: Counter = Counter()
+    lower: Counter = Counter()
+    coded = []
+    for held in blocks(texts):
+        block = Block(held)
+        for total, own in zip((parts, lower), census(held, block)):
+            total.update(own)
+        coded.append(block.pack())
+    if not parts:
+        return Model()
+    lexicon = lexicon_of(p for p, n in parts.items() if listed(p, n, lower[p]))
+    for again in range(2):
+        packed = [examples(Block.unpack(b), lexicon) for b in coded]
+        model = Model(descend(lambda w: sum(gradient(x, w) for x in packed)), lexicon)
+        if not again:
+            more: Counter = Counter()
+            for b in coded:
+                more.update(more_parts(Block.unpack(b), model))
+            lexicon = lexicon | lexicon_of(p for p, n in more.items() if listed(p, n, lower[p]))
+    return model

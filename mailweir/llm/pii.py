@@ -6,7 +6,7 @@ Finding, over the consistent form of whole texts:
 * numbers in one scan for runs of digits with single marks between them; a run is an identity or telephone number if its
   whole form fits and its parts are valid (``pseudonym``), unless the word before it announces another number;
 * addresses from a house number on, in English, Vietnamese and French order, and from the street on in German and Spanish;
-* full names by a model fitted on a sample of the corpus (``names``).
+* full names by a model fitted on the whole corpus (``names``).
 
 Spans already taken are kept in order and looked up by bisection, so the time is linear in the length of the text but
 for a logarithm.
@@ -25,13 +25,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailweir.llm import names, pseudonym
 from mailweir.llm.canonical import canonical, settle
 from mailweir.llm.lookalike import unstable_segments
-from mailweir.session import spread
+from mailweir.session import cut, spread
 
 # Words that come before identity numbers, and before numbers that are no personal information.
 ID_CUES = (
@@ -341,20 +342,85 @@ def find_spans(text: str | None, model: names.Model | None = None, dates: bool =
     return find_all([text], model or names.Model(), dates)[0]
 
 
-def training_texts(documents: DataFrame, most: int = names.SAMPLE) -> list[str]:
-    """About ``most`` texts, and never more than twice as many: those whose id hash is under a threshold from the row count."""
-    rows = documents.filter("text is not null and text <> ''").select("doc_id", "text")
-    n = rows.count()
-    if not n:
-        return []
-    space = 1 << 40
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(space)) < int(space * min(1.0, most / n)))
-    texts = sorted(r["text"] for r in chosen.select("text").limit(2 * most).collect())
-    return [canonical(t) for t in texts]
+def _coded(documents: DataFrame) -> DataFrame:
+    """Blocks of coded words of all texts; beside them (word, texts with it in a seed, texts with it in small letters)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (canonical(t) for batch in batches for t in batch.column(0).to_pylist())
+        for held in names.blocks(texts):
+            block = names.Block(held)
+            parts, lower = names.census(held, block)
+            words = list(parts | lower)
+            columns = [[None, *words], [0, *(parts[w] for w in words)], [0, *(lower[w] for w in words)], [block.pack(), *[None] * len(words)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["word", "n", "lower", "block"])
+
+    return spread(documents.filter("text is not null and text <> ''").select("text")).mapInArrow(run, "word string, n long, lower long, block binary")
+
+
+def _lexicon(counts: DataFrame) -> np.ndarray:
+    """Lexicon of the words whose counts over the whole corpus suffice (``names.listed``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = np.flatnonzero(names.lexicon_of(w for w, n, lower in zip(*(c.to_pylist() for c in batch.columns)) if names.listed(w, n, lower)))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32())], ["bucket"])
+
+    words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).filter("n > 0")
+    out = np.zeros(names.BUCKETS, np.bool_)
+    out[[r[0] for r in words.mapInArrow(run, "bucket int").distinct().collect()]] = True  # at most one row a bucket
+    return out
+
+
+def _blocks(df: DataFrame) -> RDD:
+    """The packed blocks of ``df``, a few at a time in Python, in as many partitions as there are cores at most."""
+    rdd = df.filter("block is not null").select("block").rdd.map(lambda r: bytes(r[0]))
+    return rdd.coalesce(max(1, min(rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)))
+
+
+def _descended(packed: DataFrame) -> np.ndarray:
+    """Weights of a fit over all packed examples: one job a pass, which sums the gradients of all blocks."""
+    sc, rdd = packed.sparkSession.sparkContext, _blocks(packed)
+    depth = 1 if rdd.getNumPartitions() <= 32 else 2
+
+    def gradient_at(w: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(w)
+
+        def run(blocks: Iterator[bytes]) -> Iterator[np.ndarray]:
+            total = np.zeros(names.BUCKETS + 1)
+            for block in blocks:
+                total += names.gradient(block, shared.value)
+            yield total
+
+        total = rdd.mapPartitions(run).treeReduce(np.add, depth)
+        shared.destroy()
+        return total
+
+    return names.descend(gradient_at)
 
 
 def fitted(documents: DataFrame) -> names.Model:
-    return names.fit(training_texts(documents))
+    """The model of ``names.fit``, fitted on all texts in the cluster."""
+    spark = documents.sparkSession
+    coded = cut(_coded(documents))
+    counts = coded.filter("word is not null").select("word", "n", "lower")
+    model = names.Model(lexicon=_lexicon(counts))
+    if not model.lexicon.any():
+        return model
+    for again in range(2):
+        lexicon = model.lexicon
+        packed = _blocks(coded).map(lambda b, lexicon=lexicon: (names.examples(names.Block.unpack(b), lexicon),))
+        model = names.Model(_descended(cut(spark.createDataFrame(packed, "block binary"))), lexicon)
+        if not again:
+            state = spark.sparkContext.broadcast((model.weights, model.lexicon))
+
+            def more(blocks: Iterator[bytes], state=state) -> Iterator[tuple[str, int, int]]:
+                known = names.Model(*state.value)
+                for block in blocks:
+                    yield from ((w, n, 0) for w, n in names.more_parts(names.Block.unpack(block), known).items())
+
+            found = spark.createDataFrame(_blocks(coded).mapPartitions(more), "word string, n long, lower long")
+            model.lexicon = lexicon | _lexicon(found.unionAll(counts.select("word", F.lit(0).cast("long").alias("n"), "lower")))
+    return model
 
 
 def _shared(documents: DataFrame, model: names.Model | None):
