@@ -8,8 +8,7 @@ and the marks between them; two more views of each word leave out identity and l
 decide alone. The model then labels the corpus again, which extends the lexicon by the parts that stand beside known
 ones, and is fitted a second time. No phrase that introduces names is written down: the model learns those of the corpus.
 
-The corpus is held in blocks of coded words (``Block``), equal examples of a block are one with a count (``Examples``),
-and each pass of the fit sums the gradients of all blocks. ``fit`` does this in one process, ``pii.fitted`` on the
+The corpus is held in blocks of coded words (``Block``), equal examples are one with a count (``Examples``), and each pass of the fit sums the gradients of all blocks. ``fit`` does this in one process, ``pii.fitted`` on the
 cluster, with the same functions. What is sent to the workers is the weight table, of ``BUCKETS`` numbers.
 """
 
@@ -29,8 +28,8 @@ BUCKETS = 1 << 17
 PASSES = 30
 #: Weight of an example in small letters that is no name, in no lexicon and beside no name: such words are most of a text.
 FAR = 0.15
-#: Characters of the texts of a block.
-BLOCK = 3_000_000
+#: Characters of the texts of a block, and different examples that are held before they are handed on.
+BLOCK, HELD = 1_000_000, 300_000
 #: Log-odds at which a word is in a name, at which a capitalised word beside such a word is (one at the begin of a
 #: sentence needs more), and the mean at which two capitalised words are one without either being sure.
 SURE, WEAK, WEAK_START, PAIR = 0.0, -3.2, -0.7, -2.2
@@ -482,32 +481,80 @@ def _shape_features(shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.array(r, np.int64).reshape(len(shapes), -1) for r in rows)
 
 
-def examples(block: Block, lexicon: np.ndarray) -> bytes:
-    """The examples of a block, packed for ``gradient``; equal ones are one with their weight."""
-    model = Model(lexicon=lexicon)
-    features = [word_features(w) for w in block.words]
-    hashed = np.array([(*own, p, q, f) for own, p, q, f, _ in features], np.int32).reshape(-1, 7)
-    lex = np.array([model.known(w) for w in block.words], np.bool_)
-    block.settle(np.array([f[4] for f in features], np.int64))
-    ids, m, a, none = block.ids, block.marks, block.after, len(features)
-    inside = lex[ids]
-    y, doubt = _label(block, inside)
-    back, back2, on = (np.concatenate(x)[: len(ids)] for x in (([none], ids[:-1]), ([none, none], ids[:-2]), (ids[1:], [none])))
-    near, ahead = m <= COMMA, a <= COMMA
-    far = near & (np.r_[LINE, m[:-1]][: len(m)] <= COMMA)
-    back, back2, on = np.where(near, back, none), np.where(far, back2, none), np.where(ahead, on, none)
-    known = np.r_[lex, False]
-    shape = np.ravel_multi_index((m, a, far, block.case_before, block.case, block.case_behind, inside, known[back], known[on]), _RADIX)
-    before, behind = np.r_[False, y[:-1]][: len(y)], np.r_[y[1:], False][: len(y)]
-    before[block.first] = behind[block.last] = False
-    full = y | (block.case != LOWER) | inside | before | behind
-    table = pa.table({"w": ids, "p": back, "q": back2, "f": on, "s": (shape * 2 + y) * 2 + full}).filter(pa.array(~doubt))
-    table = table.group_by(["w", "p", "q", "f", "s"], use_threads=False).aggregate([([], "count_all")])
-    code = table["s"].to_numpy()
-    weight = table["count_all"].to_numpy() * np.where(code & 1, 1.0, FAR)
-    shapes, shape = np.unique(code >> 2, return_inverse=True)
-    columns = [table[c].to_numpy().astype(np.int32) for c in "wpqf"]
-    return _packed(hashed, _shape_features(shapes), *columns, shape.astype(np.int32), (code >> 1 & 1).astype(np.bool_), weight.astype(np.float32))
+class Examples:
+    """Examples of many blocks; equal ones are one with their number. Word 0 is none."""
+
+    _KEYS = ("w", "p", "q", "f", "s")
+
+    def __init__(self, lexicon: np.ndarray):
+        self.model = Model(lexicon=lexicon)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.features: list[tuple] = []  # of each word: hashed ones, case, whether the lexicon has it
+        self.tables: list[pa.Table] = []
+        self.settled = self.rows = 0
+
+    def _number(self, word: str) -> int:
+        n = self.numbers.get(word)
+        if n is None:
+            own, p, q, f, case = word_features(word)
+            self.features.append(((*own, p, q, f), case, self.model.known(word)))
+            n = self.numbers[word] = len(self.features)
+        return n
+
+    def add(self, block: Block) -> None:
+        numbers = [self._number(w) for w in block.words]
+        lex = np.array([self.features[n - 1][2] for n in numbers], np.bool_)[block.ids]
+        block.settle(np.array([self.features[n - 1][1] for n in numbers], np.int64))
+        ids, m, a = np.array(numbers, np.int64)[block.ids], block.marks, block.after
+        y, doubt = _label(block, lex)
+        near, ahead = m <= COMMA, a <= COMMA
+        far = near & (np.r_[LINE, m[:-1]][: len(m)] <= COMMA)
+        earlier = lambda x, k: np.concatenate([np.zeros(k, x.dtype), x])[: len(x)]
+        later = lambda x: np.append(x[1:], np.zeros(1, x.dtype))[: len(x)]
+        shape = np.ravel_multi_index((m, a, far, block.case_before, block.case, block.case_behind, lex, near & earlier(lex, 1), ahead & later(lex)), _RADIX)
+        before, behind = earlier(y, 1), later(y)
+        before[block.first] = behind[block.last] = False
+        full = y | (block.case != LOWER) | lex | before | behind
+        columns = (ids, earlier(ids, 1) * near, earlier(ids, 2) * far, later(ids) * ahead, (shape * 2 + y) * 2 + full)
+        table = pa.table([pa.array(c[~doubt], pa.int32()) for c in columns], list(self._KEYS))
+        self._hold(table.append_column("n", pa.array(np.ones(len(table), np.int64))))
+        if self.rows > 2 * max(self.settled, HELD // 4):
+            self._settle()
+
+    def _hold(self, table: pa.Table) -> None:
+        self.tables.append(table.group_by(list(self._KEYS), use_threads=False).aggregate([("n", "sum")]).rename_columns([*self._KEYS, "n"]))
+        self.rows += len(self.tables[-1])
+
+    def _settle(self) -> None:
+        table, self.tables, self.rows = pa.concat_tables(self.tables), [], 0
+        self._hold(table)
+        self.settled = self.rows
+
+    def pack(self) -> bytes:
+        """What is held, for ``gradient``."""
+        self._settle()
+        table = self.tables[0]
+        code = table["s"].to_numpy()
+        weight = table["n"].to_numpy() * np.where(code & 1, 1.0, FAR)
+        shapes, shape = np.unique(code >> 2, return_inverse=True)
+        columns = [table[c].to_numpy() for c in "wpqf"]
+        hashed = np.array([f[0] for f in self.features], np.int32).reshape(-1, 7)
+        self._clear()
+        return _packed(hashed, _shape_features(shapes), *columns, shape.astype(np.int32), (code >> 1 & 1).astype(np.bool_), weight)
+
+
+def examples(coded: Iterable[bytes], lexicon: np.ndarray) -> Iterator[bytes]:
+    """The examples of packed blocks, packed for ``gradient``."""
+    held = Examples(lexicon)
+    for data in coded:
+        held.add(Block.unpack(data))
+        if held.settled > HELD:
+            yield held.pack()
+    if held.tables:
+        yield held.pack()
 
 
 def gradient(data: bytes, w: np.ndarray) -> np.ndarray:
@@ -518,7 +565,7 @@ def gradient(data: bytes, w: np.ndarray) -> np.ndarray:
     hashed, (contexts, cases, lexical, blank), word, p, q, f, shape, y, weight = _unpacked(data)
     n, k = len(hashed) + 1, len(cases)
     own, other = hashed[:, 0], hashed[:, 1:4]
-    pad = lambda x: np.append(x, 0.0)
+    pad = lambda x: np.append(0.0, x)
     form = pad(w[other].sum(axis=1))[word] + (w[cases].sum(axis=1) + w[blank].sum(axis=1))[shape]
     around = pad(w[hashed[:, 4]])[p] + pad(w[hashed[:, 5]])[q] + pad(w[hashed[:, 6]])[f] + w[contexts].sum(axis=1)[shape]
     blind = form + around
@@ -526,7 +573,7 @@ def gradient(data: bytes, w: np.ndarray) -> np.ndarray:
     full, blind, form = (weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y) for z in (full, blind, form))
     around, less = full + blind, blind + form
     whole = full + less
-    of_word = lambda index, err: np.bincount(index, err, n)[:-1]
+    of_word = lambda index, err: np.bincount(index, err, n)[1:]
     of_shape = lambda err: np.bincount(shape, err, k)[:, None]
     sums = [
         (own, of_word(word, full)), (other, of_word(word, whole)[:, None]),
@@ -564,7 +611,7 @@ def fit(texts: Sequence[str]) -> Model:
         return Model()
     lexicon = lexicon_of(p for p, n in parts.items() if listed(p, n, lower[p]))
     for again in range(2):
-        packed = [examples(Block.unpack(b), lexicon) for b in coded]
+        packed = list(examples(coded, lexicon))
         model = Model(descend(lambda w: sum(gradient(x, w) for x in packed)), lexicon)
         if not again:
             more: Counter = Counter()

@@ -371,16 +371,15 @@ def _lexicon(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _blocks(df: DataFrame) -> RDD:
-    """The packed blocks of ``df``, a few at a time in Python, in as many partitions as there are cores at most."""
-    rdd = df.filter("block is not null").select("block").rdd.map(lambda r: bytes(r[0]))
-    return rdd.coalesce(max(1, min(rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)))
+def _blocks(df: DataFrame, tasks: int) -> RDD:
+    """The packed blocks of ``df``, a few at a time in Python. Coalesced before Python, which would else have them twice."""
+    return df.filter("block is not null").select("block").coalesce(tasks).rdd.map(lambda r: bytes(r[0]))
 
 
-def _descended(packed: DataFrame) -> np.ndarray:
+def _descended(packed: DataFrame, tasks: int) -> np.ndarray:
     """Weights of a fit over all packed examples: one job a pass, which sums the gradients of all blocks."""
-    sc, rdd = packed.sparkSession.sparkContext, _blocks(packed)
-    depth = 1 if rdd.getNumPartitions() <= 32 else 2
+    sc, rdd = packed.sparkSession.sparkContext, _blocks(packed, tasks)
+    depth = 1 if tasks <= 32 else 2
 
     def gradient_at(w: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(w)
@@ -406,10 +405,12 @@ def fitted(documents: DataFrame) -> names.Model:
     model = names.Model(lexicon=_lexicon(counts))
     if not model.lexicon.any():
         return model
+    # a task has a fixed cost at each pass: four blocks are worth one, up to the number of cores
+    tasks = max(1, min(coded.filter("block is not null").count() // 4, spark.sparkContext.defaultParallelism))
     for again in range(2):
         lexicon = model.lexicon
-        packed = _blocks(coded).map(lambda b, lexicon=lexicon: (names.examples(names.Block.unpack(b), lexicon),))
-        model = names.Model(_descended(cut(spark.createDataFrame(packed, "block binary"))), lexicon)
+        packed = _blocks(coded, tasks).mapPartitions(lambda blocks, lexicon=lexicon: ((e,) for e in names.examples(blocks, lexicon)))
+        model = names.Model(_descended(cut(spark.createDataFrame(packed, "block binary")), tasks), lexicon)
         if not again:
             state = spark.sparkContext.broadcast((model.weights, model.lexicon))
 
@@ -418,7 +419,7 @@ def fitted(documents: DataFrame) -> names.Model:
                 for block in blocks:
                     yield from ((w, n, 0) for w, n in names.more_parts(names.Block.unpack(block), known).items())
 
-            found = spark.createDataFrame(_blocks(coded).mapPartitions(more), "word string, n long, lower long")
+            found = spark.createDataFrame(_blocks(coded, tasks).mapPartitions(more), "word string, n long, lower long")
             model.lexicon = lexicon | _lexicon(found.unionAll(counts.select("word", F.lit(0).cast("long").alias("n"), "lower")))
     return model
 

@@ -35,6 +35,7 @@ def test_blocks_and_their_order_do_not_matter(monkeypatch):
     rows = texts()[:1000]
     whole = N.fit(rows)
     monkeypatch.setattr(N, "BLOCK", 2000)
+    monkeypatch.setattr(N, "HELD", 50)
     parted = N.fit(rows[::-1])
     assert (whole.lexicon == parted.lexicon).all() and np.abs(whole.weights - parted.weights).max() < 1e-3
     assert whole.find(rows) == [s for r in rows for s in whole.find([r])]
@@ -49,5 +50,5 @@ def test_gradient_of_equal_examples():
     text = f"Regards,\nAnna {SURNAMES[1]}\nmet Anna {SURNAMES[1]}."
     lexicon = N.lexicon_of(["Anna", SURNAMES[1]])
     w = np.append(np.random.default_rng(1).normal(size=N.BUCKETS), 0.0)
-    one, many = (N.gradient(N.examples(N.Block([text] * n), lexicon), w) for n in (1, 7))
-    assert np.abs(one).max() > 0.1 and np.allclose(7 * one, many)
+    one, many, apart = (sum(N.gradient(e, w) for e in N.examples(coded, lexicon)) for coded in ([N.Block([text]).pack()], [N.Block([text] * 7).pack()], [N.Block([text]).pack()] * 7))
+    assert np.abs(one).max() > 0.1 and np.allclose(7 * one, many) and np.allclose(many, apart)
