@@ -360,9 +360,13 @@ def _label(lay: Layout, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y, doubt & ~y
 
 
-def listed(part: str, n: int, lower: int) -> bool:
-    """Whether a part belongs to the lexicon: it stands in two names or more, and in small letters not mostly as another word."""
-    return n >= 2 and len(part) > 1 and lower <= 2 * n
+def listed(part: str, n: int, held: int) -> bool:
+    """Whether a part belongs to the lexicon: it stands in two names or more, and not mostly as another word.
+
+    ``held`` is the number of texts that hold it. Of the parts of seeds, which are but few of the names, those with a
+    capital have 0. Of those that a model finds it has all: in a large corpus any word beside a name is found twice.
+    """
+    return n >= 2 and len(part) > 1 and held <= 2 * n
 
 
 def lexicon_of(parts: Iterable[str]) -> np.ndarray:
@@ -431,22 +435,28 @@ def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
         yield held
 
 
-def census(texts: Sequence[str], block: Block) -> tuple[Counter, Counter]:
-    """Texts that hold each part in a seed, and texts that hold each word in small letters outside of mailboxes; ``block`` has the texts' words."""
+def census(texts: Sequence[str], block: Block) -> tuple[Counter, Counter, Counter]:
+    """Texts that hold each part in a seed, each word in small letters outside of mailboxes, and each word with a capital;
+    ``block`` has the texts' words."""
     words = list(block.words)
     at = np.repeat(np.arange(len(texts)), block.counts)
     titled = np.zeros(len(texts), np.bool_)
     titled[at[np.array([bool(_TITLE.fullmatch(w)) for w in words], np.bool_)[block.ids]]] = True
     boxed = np.array(["@" in text for text in texts], np.bool_)
-    use = np.array([w[0].islower() for w in words], np.bool_)[block.ids] & ~boxed[at]
-    held = np.bincount(np.unique(at[use] * len(words) + block.ids[use]) % len(words), minlength=len(words)).tolist()
-    lower = Counter({w: n for w, n in zip(words, held) if n})
+    small = np.array([w[0].islower() for w in words], np.bool_)[block.ids]
+    lower: Counter = Counter()
+    capital: Counter = Counter()
+    for use, total in ((small & ~boxed[at], lower), (~small, capital)):
+        held = np.bincount(np.unique(at[use] * len(words) + block.ids[use]) % len(words), minlength=len(words)).tolist()
+        total.update({w: n for w, n in zip(words, held) if n})
+    for word in [w for w in capital if w[1:] != w[1:].lower()]:  # as in ``_one_case``
+        capital[word[0] + word[1:].lower()] += capital.pop(word)
     parts: Counter = Counter()
     for text, title, box in zip(texts, titled.tolist(), boxed.tolist()):
         parts.update({w for s in seeds(text, title) for w in _parts(s)})
         if box:
             lower.update({w for w in set(_WORD.findall(_BOX.sub(" ", text))) if w[0].islower()})
-    return parts, lower
+    return parts, lower, capital
 
 
 def more_parts(block: Block, model: Model) -> Counter:
@@ -601,10 +611,11 @@ def fit(texts: Sequence[str]) -> Model:
     """A model from unlabelled texts; without seeds it finds nothing."""
     parts: Counter = Counter()
     lower: Counter = Counter()
+    capital: Counter = Counter()
     coded = []
     for held in blocks(texts):
         block = Block(held)
-        for total, own in zip((parts, lower), census(held, block)):
+        for total, own in zip((parts, lower, capital), census(held, block)):
             total.update(own)
         coded.append(block.pack())
     if not parts:
@@ -617,5 +628,5 @@ def fit(texts: Sequence[str]) -> Model:
             more: Counter = Counter()
             for b in coded:
                 more.update(more_parts(Block.unpack(b), model))
-            lexicon = lexicon | lexicon_of(p for p, n in more.items() if listed(p, n, lower[p]))
+            lexicon = lexicon | lexicon_of(p for p, n in more.items() if listed(p, n, lower[p] + capital[p]))
     return model

@@ -343,29 +343,30 @@ def find_spans(text: str | None, model: names.Model | None = None, dates: bool =
 
 
 def _coded(documents: DataFrame) -> DataFrame:
-    """Blocks of coded words of all texts; beside them (word, texts with it in a seed, texts with it in small letters)."""
+    """Blocks of coded words of all texts; beside them (word, and the counts of ``names.census``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (canonical(t) for batch in batches for t in batch.column(0).to_pylist())
         for held in names.blocks(texts):
             block = names.Block(held)
-            parts, lower = names.census(held, block)
-            words = list(parts | lower)
-            columns = [[None, *words], [0, *(parts[w] for w in words)], [0, *(lower[w] for w in words)], [block.pack(), *[None] * len(words)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["word", "n", "lower", "block"])
+            counts = names.census(held, block)
+            words = list(dict.fromkeys(w for c in counts for w in c))
+            columns = [[None, *words], *([0, *(c[w] for w in words)] for c in counts), [block.pack(), *[None] * len(words)]]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "lower", "capital", "block"])
 
-    return spread(documents.filter("text is not null and text <> ''").select("text")).mapInArrow(run, "word string, n long, lower long, block binary")
+    return spread(documents.filter("text is not null and text <> ''").select("text")).mapInArrow(run, "word string, n long, lower long, capital long, block binary")
 
 
 def _lexicon(counts: DataFrame) -> np.ndarray:
-    """Lexicon of the words whose counts over the whole corpus suffice (``names.listed``)."""
+    """Lexicon of the (word, n, held) whose sums over the whole corpus suffice (``names.listed``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets = np.flatnonzero(names.lexicon_of(w for w, n, lower in zip(*(c.to_pylist() for c in batch.columns)) if names.listed(w, n, lower)))
+            buckets = np.flatnonzero(names.lexicon_of(w for w, n, held in zip(*(c.to_pylist() for c in batch.columns)) if names.listed(w, n, held)))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32())], ["bucket"])
 
-    words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).filter("n > 0")
+    words = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).filter("n > 0")
     out = np.zeros(names.BUCKETS, np.bool_)
     out[[r[0] for r in words.mapInArrow(run, "bucket int").distinct().collect()]] = True  # at most one row a bucket
     return out
@@ -401,8 +402,8 @@ def fitted(documents: DataFrame) -> names.Model:
     """The model of ``names.fit``, fitted on all texts in the cluster."""
     spark = documents.sparkSession
     coded = cut(_coded(documents))
-    counts = coded.filter("word is not null").select("word", "n", "lower")
-    model = names.Model(lexicon=_lexicon(counts))
+    counts = coded.filter("word is not null")
+    model = names.Model(lexicon=_lexicon(counts.selectExpr("word", "n", "lower as held")))
     if not model.lexicon.any():
         return model
     # a task has a fixed cost at each pass: four blocks are worth one, up to the number of cores
@@ -419,8 +420,8 @@ def fitted(documents: DataFrame) -> names.Model:
                 for block in blocks:
                     yield from ((w, n, 0) for w, n in names.more_parts(names.Block.unpack(block), known).items())
 
-            found = spark.createDataFrame(_blocks(coded, tasks).mapPartitions(more), "word string, n long, lower long")
-            model.lexicon = lexicon | _lexicon(found.unionAll(counts.select("word", F.lit(0).cast("long").alias("n"), "lower")))
+            found = spark.createDataFrame(_blocks(coded, tasks).mapPartitions(more), "word string, n long, held long")
+            model.lexicon = lexicon | _lexicon(found.unionAll(counts.selectExpr("word", "0L as n", "lower + capital as held")))
     return model
 
 

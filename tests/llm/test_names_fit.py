@@ -52,3 +52,9 @@ def test_gradient_of_equal_examples():
     w = np.append(np.random.default_rng(1).normal(size=N.BUCKETS), 0.0)
     one, many, apart = (sum(N.gradient(e, w) for e in N.examples(coded, lexicon)) for coded in ([N.Block([text]).pack()], [N.Block([text] * 7).pack()], [N.Block([text]).pack()] * 7))
     assert np.abs(one).max() > 0.1 and np.allclose(7 * one, many) and np.allclose(many, apart)
+
+
+def test_words_beside_names_are_no_parts():
+    counts = N.census(["ANNA came. Anna Schmidt, Applicant", "the Applicant"], N.Block(["ANNA came. Anna Schmidt, Applicant", "the Applicant"]))
+    assert counts[2]["Applicant"] == 2 and counts[2]["Anna"] == 2 and counts[1]["the"] == counts[1]["came"] == 1
+    assert N.listed("Schmidt", 50, 90) and not N.listed("Applicant", 12, 5000) and not N.listed("Schmidt", 1, 1)
