@@ -477,11 +477,11 @@ def more_parts(block: Block, model: Model) -> Counter:
 # Shapes are what an example has besides words: marks on both sides, whether the second word before counts, cases of three
 # words, lexicon on three words.
 _RADIX = (7, 7, 2, 4, 4, 4, 2, 2, 2)
-#: Features of each shape; those of contexts, of cases, of the lexicon, and of the lexicon where it is left out.
-_NONE = BUCKETS
+_NONE = BUCKETS  # no feature
 
 
 def _shape_features(shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each shape: those of contexts, of cases, of the lexicon, and of the lexicon where it is left out."""
     rows: tuple[list, list, list, list] = ([], [], [], [])
     for m, a, far, before, case, behind, here, back, on in zip(*(x.tolist() for x in np.unravel_index(shapes, _RADIX))):
         rows[0].append((_NONE if m <= COMMA else _CONTEXT["p", m], _NONE if far else _CONTEXT["q", m], _NONE if a <= COMMA else _CONTEXT["f", a]))
